@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from strandlog.llm.repetition import op6_suffix_repetition
+from strandlog.llm.simhash import op8_covering_simhash
+
+QUERIES = {f.__name__: f for f in (op6_suffix_repetition, op8_covering_simhash)}
 
-QUERIES = {f.__name__: f for f in (op6_suffix_repetition,)}
 SQL: dict[str, str] = {}
