@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from strandlog.llm.bpe import op10_transducer_bpe
+from strandlog.llm.langid import op3_recurrent_langid
 from strandlog.llm.repetition import op6_suffix_repetition
 from strandlog.llm.simhash import op8_covering_simhash
 
-QUERIES = {f.__name__: f for f in (op6_suffix_repetition, op8_covering_simhash, op10_transducer_bpe)}
+QUERIES = {f.__name__: f for f in (op3_recurrent_langid, op6_suffix_repetition, op8_covering_simhash, op10_transducer_bpe)}
 
 SQL: dict[str, str] = {}
