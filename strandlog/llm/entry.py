@@ -6,7 +6,8 @@ from strandlog.llm.bpe import op10_transducer_bpe
 from strandlog.llm.langid import op3_recurrent_langid
 from strandlog.llm.repetition import op6_suffix_repetition
 from strandlog.llm.simhash import op8_covering_simhash
+from strandlog.llm.superkmers import op7_super_kmers
 
-QUERIES = {f.__name__: f for f in (op3_recurrent_langid, op6_suffix_repetition, op8_covering_simhash, op10_transducer_bpe)}
+QUERIES = {f.__name__: f for f in (op3_recurrent_langid, op6_suffix_repetition, op7_super_kmers, op8_covering_simhash, op10_transducer_bpe)}
 
 SQL: dict[str, str] = {}
