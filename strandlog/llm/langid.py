@@ -228,23 +228,38 @@ def fit(
     return train(FOLD[data], np.repeat(np.arange(len(langs)), [len(seen[x]) for x in langs]), langs, **training)
 
 
+def judged(reader: Reader | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    known = np.array([bool(x.is_valid and LETTER.search(x.as_py())) for x in texts], bool)
+    if reader is None or not len(texts):
+        return ["und"] * len(texts), np.zeros(len(texts))
+    pooled = reader.texts(*C.text_bytes(texts))
+    best = pooled.argmax(axis=1)
+    score = np.where(known, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0)
+    return [reader.net.langs[b] if ok else "und" for b, ok in zip(best, known)], score
+
+
+def keep(docs: DataFrame, net: Network | None, text_col: str = "text", *, min_score: float = 0.4) -> DataFrame:
+    """The rows, all columns as they are, whose text has a language and whose best one gets min_score at least. A map over rows."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(net) if net else None
+        for batch in batches:
+            langs, score = judged(reader, batch.column(place))
+            yield batch.filter(pa.array(np.array([lang != "und" for lang in langs], bool) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and probabilities by language, one row per input row."""
+    """doc_id, lang_pred and score, one row per input row. A map over rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(net) if net else None
         for batch in batches:
-            texts = batch.column(1)
-            raw, at = C.text_bytes(texts)
-            known = np.array([bool(x.is_valid and LETTER.search(x.as_py())) for x in texts], bool)
-            pooled = reader.texts(raw, at) if reader else np.zeros((len(texts), 1))
-            best = pooled.argmax(axis=1) if len(texts) else np.zeros(0, int)
-            known &= reader is not None
-            names = net.langs if net else ["und"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([names[b] if ok else "und" for b, ok in zip(best, known)], pa.string()), pa.array(np.where(known, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0))],
-                names=["doc_id", "lang_pred", "score"],
-            )
+            langs, score = judged(reader, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
