@@ -34,7 +34,7 @@ SHORT = "shiftleft(1, greatest(4, (length(bin({n} - 1)) + 1) div 2))"
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k, t, pos, line, n (characters), a and b (128 bits of hash) of every line that isn't blank."""
     rows = docs.select(C.doc_key(id_col).alias("k"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.select("k", "t", F.posexplode(F.expr(TRIMMED)).alias("pos", "line")).where("line <> ''")
+    lines = rows.select("k", "t", F.posexplode_outer(F.expr(TRIMMED)).alias("pos", "line")).where("line <> ''")  # outer: else a filter that Catalyst adds computes the lines twice
     return lines.selectExpr("k", "t", "pos", "line", "length(line) as n", "xxhash64(line) as a", "xxhash64('b', line) as b")
 
 
@@ -42,9 +42,9 @@ def block_keys(width: str) -> Column:
     """(key, block, width, longer) for every block deleted: as a line of its own length, and as the shorter of two, whose partner
     has one character more in that block."""
     own, next_ = width.format(n="n"), width.format(n="(n + 1)")
-    as_own = f"transform(sequence(0, (n - 1) div {own}), i -> struct(xxhash64(n, i, left(line, i * {own}), substring(line, (i + 1) * {own} + 1)) as key, i as block, {own} as width, true as longer))"
-    as_shorter = f"transform(sequence(0, n div {next_}), i -> struct(xxhash64(n + 1, i, left(line, i * {next_}), substring(line, (i + 1) * {next_})) as key, i as block, {next_} as width, false as longer))"
-    return F.explode(F.expr(f"concat({as_own}, {as_shorter})"))
+    as_own = f"transform(array({own}), w -> transform(sequence(0, (n - 1) div w), i -> struct(xxhash64(n, i, left(line, i * w), substring(line, (i + 1) * w + 1)) as key, i as block, w as width, true as longer)))[0]"
+    as_shorter = f"transform(array({next_}), w -> transform(sequence(0, n div w), i -> struct(xxhash64(n + 1, i, left(line, i * w), substring(line, (i + 1) * w)) as key, i as block, w as width, false as longer)))[0]"
+    return F.explode_outer(F.expr(f"concat({as_own}, {as_shorter})"))  # never empty
 
 
 def where_shared(keyed: DataFrame, most_broadcast: int) -> DataFrame:
@@ -72,7 +72,7 @@ def near_lines(lines: DataFrame, *, near_chars: int = 24, most_broadcast: int =
         f"array_distinct(transform({places}, i -> struct(-1 as place, xxhash64(at.key, -1, {deleted}) as v)))), array()), array(struct(-1 as place, xxhash64(at.key, -1, mid) as v)))"
     )
     parts = held.select("a", "b", "first", "at", F.explode(F.array(F.expr(mid))).alias("mid"))
-    rows = parts.select("a", "b", "first", "at.longer", F.explode(F.expr(variants)).alias("x")).select("a", "b", "first", "longer", "x.place", "x.v")
+    rows = parts.select("a", "b", "first", "at.longer", F.explode_outer(F.expr(variants)).alias("x")).where("x is not null").select("a", "b", "first", "longer", "x.place", "x.v")
     least = rows.groupBy("v", "place").agg(
         F.count("*").alias("m"), F.min("first").alias("any"), F.min(F.when(F.col("longer"), F.col("first"))).alias("of_longer"), F.min(F.when(~F.col("longer"), F.col("first"))).alias("of_shorter"),
     ).where("m > 1")
