@@ -1,0 +1 @@
+"""strandlog: append-only, multi-queue logs as Spark DataFrames."""
