@@ -72,7 +72,7 @@ def settings(queues: DataFrame, rules: list[tuple[int, str, str, str, bool]]) ->
 
 def settings_from_table(queues: DataFrame, rules: DataFrame) -> DataFrame:
     """As settings, for rules (priority, regex, compression, encryption, fsync) in a table."""
-    joined = queues.join(rules, F.col("queue").rlike(F.col("regex")), "left")
+    joined = queues.join(rules, F.rlike("queue", "regex"), "left")
     rank = F.row_number().over(Window.partitionBy("queue").orderBy("priority"))
     chosen = joined.withColumn("_rank", rank).where("_rank = 1")
     defaults = {"compression": DEFAULT_COMPRESSION, "encryption": DEFAULT_ENCRYPTION, "fsync": DEFAULT_FSYNC}
