@@ -5,13 +5,15 @@ segment is bounded by its file size, so one file is one row of work."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.functions.ids import path_to_id
+from strandlog.functions.ids import file_path, path_to_id
 from strandlog.sources import codec, crypto
 
 FILE = "queue string, file_id long, content binary"
@@ -105,3 +107,32 @@ def read_files(spark: SparkSession, root: str, tier: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{tier}").load(root)
     inside = F.regexp_extract("path", rf"^.*?{root.rstrip('/').split('://')[-1]}(/.+)/{tier}/([^.]+)\.{tier}$", 1)
     return found.select(inside.alias("queue"), path_to_id(F.regexp_extract("path", rf"/{tier}/([^.]+\.{tier})$", 1)).alias("file_id"), "content").where("file_id is not null and queue <> ''")
+
+
+def write_files(files: DataFrame, root: str, tier: str) -> DataFrame:
+    """Write files (queue, file_id, content) to <root>/<queue>/<tier>/, each under another name first and then moved, so that no
+    reader sees half a file and a task that runs twice does no harm. root: a path or URI that all workers reach. When the result,
+    (queue, file_id, path, bytes), is computed, the files are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                path = f"{base.rstrip('/')}{x['queue']}/{tier}/{x['name']}"
+                part = f"{path}.{uuid.uuid4().hex}.tmp"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(part) as stream:
+                    stream.write(x["content"])
+                system.move(part, path)
+                out.append({"queue": x["queue"], "file_id": x["file_id"], "path": path, "bytes": len(x["content"])})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())]))
+
+    named = files.select("queue", "file_id", "content", file_path(F.col("file_id"), f".{tier}").alias("name"))
+    return named.mapInArrow(run, "queue string, file_id long, path string, bytes long")
+
+
+def offload(files: DataFrame, remote: DataFrame, root: str, tier: str) -> DataFrame:
+    """Write the files that the remote listing (queue, file_id, bytes) lacks or has with another size."""
+    pending = files.join(remote.select("queue", "file_id", F.col("bytes").alias("_bytes")), ["queue", "file_id"], "left").where(~F.col("_bytes").eqNullSafe(F.length("content")))
+    return write_files(pending.select("queue", "file_id", "content"), root, tier)

@@ -91,3 +91,17 @@ def test_data_source_and_listing(spark, tmp_path):
     assert sorted((r.queue, r.file_id) for r in files.list_files(spark, str(tmp_path), "wal").collect()) == [("/i/q", 1), ("/i/q", 4095), ("/i/q", 4096)]
     read = files.decode_wal_files(files.read_files(spark, str(tmp_path), "wal"), 5, 6)
     assert sorted(r.entry_id for r in read.collect()) == [5, 6]
+
+
+def test_written_files_are_listed_and_read_back(spark, tmp_path):
+    log = spark.range(40).selectExpr("if(id % 2 = 0, '/i/a', '/i/b') as queue", "id div 2 as entry_id", "cast(concat('x', id) as binary) as data")
+    wal = files.encode_wal_files(log, 8).select("queue", "file_id", "content")
+    assert files.write_files(wal, str(tmp_path), "wal").count() == 6
+    listed = files.list_files(spark, str(tmp_path), "wal")
+    assert sorted((r.queue, r.file_id) for r in listed.collect()) == [(q, f) for q in ("/i/a", "/i/b") for f in (1, 2, 3)]
+    assert not list(tmp_path.rglob("*.tmp"))
+    back = files.decode_wal_files(files.read_files(spark, str(tmp_path), "wal"))
+    assert sorted((r.queue, r.entry_id, bytes(r.data)) for r in back.collect()) == sorted((r.queue, r.entry_id, bytes(r.data)) for r in log.collect())
+    assert files.offload(wal, listed, str(tmp_path), "wal").count() == 0
+    short = listed.selectExpr("queue", "file_id", "if(file_id = 2, bytes - 1, bytes) as bytes").where("file_id <> 3")
+    assert sorted((r.queue, r.file_id) for r in files.offload(wal, short, str(tmp_path), "wal").collect()) == [(q, f) for q in ("/i/a", "/i/b") for f in (2, 3)]
