@@ -5,7 +5,8 @@ share that run, at its place, make a super-k-mer, which travels as one packed st
 by where they stand and cut into windows, so each bucket finds exactly which windows also start earlier.
 
 A minimiser that the corpus has once has no repeated window, so a first pass counts minimisers (eight bytes each, summed
-before the shuffle) and only super-k-mers of repeated ones are packed and sent. Equal strings are recognised whole, so a
+before the shuffle) and only super-k-mers of repeated ones are packed and sent. Texts that are copies of an earlier document's
+whole text lose all their windows and send nothing. Equal strings are recognised whole, so a
 bucket holds the distinct strings of one minimiser and cuts only those. Windows are compared as text, never by hash.
 
 Defined results: null, empty and blank texts have no words; rows are told apart by doc_id and text, so equal rows get equal
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strandlog.llm import common as C
 
+ALL = 1 << 30
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,27 +86,37 @@ def minimisers(rows: DataFrame, window: int, seed_words: int) -> DataFrame:
 
 
 def packed(rows: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """The chosen super-k-mers of each row as strings: their words, joined by one space."""
+    """The chosen super-k-mers of each row as strings: their words, joined by one space.
+
+    A string that the row already has starts earlier there, so it goes without words, adjoining ones as one, and not to the
+    bucket: a text that repeats one word over and over sends one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in C.chunks(C.text_bytes(batch.column(2))[1], 4_000_000):
-                k, t, begin, low, text = [], [], [], [], []
-                for a, b, whole, places in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(4))):
-                    tokens = (whole or "").encode("utf-8").split()
-                    for p in places:
-                        n = min(p["n"], len(tokens) - window + 1 - p["s"])
-                        if n > 0:  # else another row with the same h
-                            k.append(a)
-                            t.append(b)
-                            begin.append(p["s"])
-                            low.append(p["m"])
-                            text.append(b" ".join(tokens[p["s"] : p["s"] + n + window - 1]))
-                columns = [pa.array(x, kind) for x, kind in ((k, pa.int64()), (t, pa.int64()), (begin, pa.int32()), (low, pa.int64()), (text, pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "s", "m", "words"])
+                out: list[tuple] = []
+                for k, t, whole, places in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(4))):
+                    tokens, seen, again = (whole or "").encode("utf-8").split(), set(), None
+                    for s, n, m in sorted((p["s"], p["n"], p["m"]) for p in places):
+                        n = min(n, len(tokens) - window + 1 - s)
+                        if n <= 0:  # places of another row with the same h
+                            continue
+                        words = b" ".join(tokens[s : s + n + window - 1])
+                        if words not in seen:
+                            seen.add(words)
+                            out.append((k, t, s, n, m, words))
+                        elif again and again[0] + again[1] == s:
+                            again = (again[0], again[1] + n)
+                        else:
+                            out += [(k, t, *again, t ^ again[0], b"")] if again else []
+                            again = (s, n)
+                    out += [(k, t, *again, t ^ again[0], b"")] if again else []
+                columns = zip(*out) if out else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["k", "t", "s", "n", "m", "words"])
 
     places = chosen.groupBy("h").agg(F.collect_set(F.struct("s", "n", "m")).alias("places"))
-    return rows.join(places, "h").select("k", "t", "text", "places").mapInArrow(run, "k long, t long, s int, m long, words binary")
+    return rows.join(places, "h").select("k", "t", "text", "places").mapInArrow(run, "k long, t long, s int, n int, m long, words binary")
 
 
 def earlier_windows(strings: DataFrame, window: int) -> DataFrame:
@@ -114,10 +126,12 @@ def earlier_windows(strings: DataFrame, window: int) -> DataFrame:
         bucket, whole, seen = None, {}, {}
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for m, k, s, t, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for m, k, s, t, n, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if not words:
+                    out.append((k, t, s, n))
+                    continue
                 if m != bucket:
                     bucket, whole, seen = m, {}, {}
-                n = words.count(b" ") + 2 - window
                 if (first := whole.setdefault(words, (k, s))) < (k, s):
                     out.append((k, t, s, n))
                     continue
@@ -132,15 +146,25 @@ def earlier_windows(strings: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["k", "t", "s", "n"])
 
     n = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = strings.select("m", "k", "s", "t", "words").repartition(n, "m").sortWithinPartitions("m", "k", "s")
+    dealt = strings.select("m", "k", "s", "t", "n", "words").repartition(n, "m").sortWithinPartitions("m", "k", "s")
     return dealt.mapInArrow(run, "k long, t long, s int, n int")
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """h, k, t of the rows whose whole text (128 bits of hash) stands at a smaller k."""
+    ids = rows.select("h", "k", "t", F.xxhash64(F.lit("copy"), "text").alias("u"))
+    first = ids.groupBy("t", "u").agg(F.min("k").alias("first"))
+    return C.written(ids.join(first, ["t", "u"]).where("k > first").select("h", "k", "t").distinct(), "copies")
+
+
 def repeated_windows(rows: DataFrame, *, window: int = 20, seed_words: int = 8) -> DataFrame:
     """Runs (k, t, s, n): the n windows of row (k, t) that start at words s, s + 1, ... also start earlier."""
     found = minimisers(rows, window, seed_words)
     repeated = C.written(found.groupBy("m").count().where("count > 1").select("m"), "minimisers")
-    return earlier_windows(packed(rows, found.join(repeated, "m", "left_semi"), window), window)
+    copied = copies(rows)
+    chosen = found.join(repeated, "m", "left_semi").join(copied.select("h"), "h", "left_anti")
+    whole = copied.select("k", "t", F.lit(0).alias("s"), F.lit(ALL).alias("n"))
+    return earlier_windows(packed(rows, chosen, window), window).union(whole)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, seed_words: int = 8) -> DataFrame:
@@ -160,11 +184,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
                     ids.append(None if k == C.NULL_ID else k)
                     n_words.append(len(tokens))
                     spans = [x for x in spans or () if x["k"] == k and x["t"] == t]
-                    if spans:
+                    if spans and len(tokens) >= window:
                         gone = np.zeros(len(tokens) + 1, np.int64)
                         for x in spans:
                             gone[x["s"]] += 1
-                            gone[x["s"] + x["n"] + window - 1] -= 1
+                            gone[min(x["s"] + x["n"] + window - 1, len(tokens))] -= 1
                         tokens = [tokens[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                     n_removed.append(n_words[-1] - len(tokens))
                     kept.append(b" ".join(tokens).decode("utf-8"))
