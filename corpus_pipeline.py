@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from strandlog.llm import bpe, common, langid, lines, simhash, winnowing
 
 MIN_SCORE = 0.4
+#: Keys of 16 bytes that are broadcast at most, counted before.
+MOST_BROADCAST = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of a benchmark item go."""
     hit = winnowing.occurrences(docs, common.load(spark, sf_dir, "benchmark")).select(F.col("k").alias("__hit_k"), F.col("t").alias("__hit_t"))
+    hit = common.written(hit, "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
     keyed = docs.withColumns({"__hit_k": common.doc_key(), "__hit_t": F.xxhash64("text")})
     return keyed.join(hit, ["__hit_k", "__hit_t"], "left_anti").select(*docs.columns)
 

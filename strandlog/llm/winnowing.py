@@ -7,7 +7,7 @@ the words themselves, which yields the exact occurrences of the item's windows.
 window: their k-grams are of their own length, all kept.
 
 Item windows come from the benchmark, a stated set; its fingerprints are broadcast only if they were counted and are at most
-`most_broadcast`, else the join is a shuffled one. Documents ship fingerprints and hit neighbourhoods, never whole texts.
+`most_broadcast`, else the join is a shuffled one of fingerprints. Only documents that were hit are dealt to their hits.
 
 Defined results: null, empty and wordless texts have no words and no hit; an item without words never occurs; items are told
 apart by item_id, and rows of one item_id are its windows together; rows of documents are told apart by doc_id and text, so
@@ -50,41 +50,55 @@ def fingerprints(words: str, k: int, w: int) -> Column:
     return F.expr(f"transform(array({hashes}), h -> transform(array({least}), m -> {kept})[0])[0]")
 
 
+#: A window of the neighbourhood occurs if all its words agree with those at its place; `here` begins at greatest(begin, 0).
+AGREE = (
+    "filter(transform(if(greatest(0, -begin) <= size(near) - length, sequence(greatest(0, -begin), size(near) - length), array()), i -> if("
+    "slice(near, i + 1, length) = slice(here, i + 1 + least(begin, 0), length), struct(item_id, begin + i as begin, length), null)), y -> y is not null)"
+)
+HERE = "slice(words, greatest(begin, 0) + 1, greatest(size(near) + least(begin, 0), 0)) as here"
+
+
+def item_fingerprints(items: DataFrame, length: int, k: int) -> DataFrame:
+    """hash, item_id, lead, near: each fingerprint of items with windows of `length` words, its neighbourhood - the words that
+    windows around it can hold - and how many words of that stand before it."""
+    around = length - k
+    marked = items.select("item_id", "words", F.explode(fingerprints("words", k, around + 1)).alias("f"))
+    near = f"slice(words, greatest(f.place - {around}, 0) + 1, least(f.place, {around}) + {k + around}) as near"
+    return C.written(marked.selectExpr("f.hash as hash", "item_id", f"least(f.place, {around}) as lead", near).distinct(), "item_fingerprints")
+
+
 def hits(rows: DataFrame, items: DataFrame, *, span: int = 8, k: int = 4, most_broadcast: int = 200_000) -> DataFrame:
-    """For rows (k, t, text) that share a fingerprint with an item: k, t and the distinct hits - item_id, where the item's
-    neighbourhood `near` of the fingerprint would begin in the row, and how long a window is."""
+    """k, t, item_id, begin, near, length: for rows (k, t, text) and items with equal fingerprints, where the item's
+    neighbourhood would begin in the row. Fingerprints travel without their texts."""
     items = C.written(with_words(items.where("item_id is not null").select("item_id", "text")).where("size(words) > 0").distinct(), "items")
     short = [r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect()]  # span - 1 numbers at most
     words = with_words(rows.select("k", "t", "text"))
     out = None
     for length, size in [(span, k), *((n, n) for n in sorted(short))]:
-        around = length - size
-        own = items.where(F.size("words") >= span if length == span else F.size("words") == length)
-        marked = own.select("item_id", "words", F.explode(fingerprints("words", size, around + 1)).alias("f"))
-        marked = marked.selectExpr("f.hash as hash", "item_id", f"least(f.place, {around}) as lead", f"slice(words, greatest(f.place - {around}, 0) + 1, least(f.place, {around}) + {size + around}) as near")
-        theirs = C.written(marked.distinct(), "item_fingerprints")
-        if theirs.count() <= most_broadcast:
-            theirs = F.broadcast(theirs)
-        ours = words.select("k", "t", F.explode(fingerprints("words", size, around + 1)).alias("f")).selectExpr("k", "t", "f.hash as hash", "f.place as place")
-        found = ours.join(theirs, "hash").selectExpr("k", "t", "item_id", "place - lead as begin", "near", f"{length} as length")
+        theirs = item_fingerprints(items.where(F.size("words") >= span if length == span else F.size("words") == length), length, size)
+        theirs = F.broadcast(theirs) if theirs.count() <= most_broadcast else theirs
+        # outer: else Catalyst adds a filter that computes the fingerprints twice
+        ours = words.select("k", "t", F.explode_outer(fingerprints("words", size, length - size + 1)).alias("f"))
+        found = ours.join(theirs, F.col("f.hash") == theirs["hash"]).selectExpr("k", "t", "item_id", "f.place - lead as begin", "near", f"{length} as length")
         out = found if out is None else out.union(found)
-    return out.groupBy("k", "t").agg(F.collect_set(F.struct("item_id", "begin", "near", "length")).alias("hits"))
+    return out.distinct()
 
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
+def occurrences(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *,
+    most_keys: int = 1_000_000, **options,
+) -> DataFrame:
     """For rows with any: k (the doc_id; null: the smallest number), t (hash of the text) and found, the distinct
-    (item_id, begin, length) of item windows that occur, in words of the row."""
+    (item_id, begin, length) of item windows that occur, in words of the row.
+
+    Rows with a hit are picked by their keys, 16 bytes each, broadcast if there are at most most_keys; only they are dealt to their hits."""
     rows = docs.select(C.doc_key(id_col).alias("k"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
-    per_row = C.written(hits(rows, items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")), **options), "hits")
-    there = with_words(rows.join(per_row, ["k", "t"]))
-    # a window of the neighbourhood occurs if all its words agree with those at its place
-    agree = (
-        "filter(transform(sequence(greatest(0, -x.begin), size(x.near) - x.length), i -> if(slice(x.near, i + 1, x.length) = slice(words, x.begin + i + 1, x.length), "
-        "struct(x.item_id as item_id, x.begin + i as begin, x.length as length), null)), y -> y is not null)"
-    )
-    fits = "filter(hits, x -> greatest(0, -x.begin) <= size(x.near) - x.length)"
-    found = there.select("k", "t", F.expr(f"array_distinct(flatten(transform({fits}, x -> {agree})))").alias("found"))
-    return found.where("size(found) > 0").dropDuplicates(["k", "t"])
+    met = C.written(hits(rows, items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")), **options), "hits")
+    keys = C.written(met.select("k", "t").distinct(), "hit_rows")
+    keys = F.broadcast(keys) if keys.count() <= most_keys else keys
+    there = with_words(rows.join(keys, ["k", "t"], "left_semi"))
+    sure = met.join(there, ["k", "t"]).selectExpr("k", "t", "item_id", "begin", "near", "length", HERE).select("k", "t", F.expr(AGREE).alias("some")).where("size(some) > 0")
+    return sure.groupBy("k", "t").agg(F.expr("array_distinct(flatten(collect_list(some)))").alias("found"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_items: int = 2, **options) -> DataFrame:
