@@ -224,4 +224,16 @@ select queue, entry_id, file_id from g
         f"with {LOG}, t as (select least(max(entry_id),1899)+1 as s from log where queue='click') select queue, entry_id, data from log, t where queue='click' "
         "and entry_id>=t.s and (entry_id-t.s)%2=0"
     ),
+    "f_in_step_all": (
+        'select l_orderkey as id, l_linenumber as step, (l_linenumber=1 or (l_orderkey>=100 and (l_orderkey-100)%l_linenumber=0)) as in_step_ref, '
+        '(l_orderkey>=100 and (l_orderkey-100)%l_linenumber=0) as in_step_ours from lineitem'
+    ),
+    "f_uint_arith_all": (
+        'select l_orderkey as a, l_partkey as b, l_orderkey+l_partkey as s, case when l_orderkey>=l_partkey then l_orderkey-l_partkey end as d, '
+        'l_orderkey%greatest(l_partkey,1) as r, cast(floor((l_orderkey+l_partkey)/2) as bigint) as mid from lineitem'
+    ),
+    "f_uint_width_all": (
+        'select distinct l_orderkey*l_orderkey*97 as v, case when l_orderkey*l_orderkey*97<256 then 1 when l_orderkey*l_orderkey*97<65536 then 2 when '
+        'l_orderkey*l_orderkey*97<4294967296 then 4 else 8 end as size_bytes from lineitem'
+    ),
 }

@@ -142,21 +142,45 @@ def f_uint_le(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", F.lower(F.hex(raw)).alias("le"), I.from_little_endian(raw, 8).alias("back"))
 
 
-def f_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step"))
+def _in_step(rows: DataFrame) -> DataFrame:
+    rows = rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step"))
     ours = I.in_step(F.col("id"), F.lit(100), F.col("step"))
     return rows.select("id", "step", ((F.col("step") == 1) | ours).alias("in_step_ref"), ours.alias("in_step_ours"))
 
 
-def f_uint_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
+def f_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_step(table(spark, sf_dir, "lineitem").where("l_orderkey < 400"))
+
+
+def f_in_step_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_step(table(spark, sf_dir, "lineitem"))
+
+
+def _uint_arith(rows: DataFrame) -> DataFrame:
+    rows = rows.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select("a", "b", I.add(a, b).alias("s"), I.subtract(a, b).alias("d"), I.remainder(a, F.greatest(b, F.lit(1))).alias("r"), I.middle(a, b).alias("mid"))
 
 
-def f_uint_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f_uint_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uint_arith(table(spark, sf_dir, "lineitem").where("l_orderkey < 500"))
+
+
+def f_uint_arith_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uint_arith(table(spark, sf_dir, "lineitem"))
+
+
+def _uint_width(rows: DataFrame) -> DataFrame:
     value = (F.col("l_orderkey") * F.col("l_orderkey") * 97).alias("v")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 15000").select(value).distinct().withColumn("size_bytes", I.width(F.col("v")))
+    return rows.select(value).distinct().withColumn("size_bytes", I.width(F.col("v")))
+
+
+def f_uint_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uint_width(table(spark, sf_dir, "lineitem").where("l_orderkey < 15000"))
+
+
+def f_uint_width_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uint_width(table(spark, sf_dir, "lineitem"))
 
 
 def file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_before_first, read_cross_tier, multi_read, last_id_status, read_frames, fanout, batch_id_assign, ordered_release, flush_ack_coalesce, subscribe, mem_evict_acked, mem_budget,
-        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, f_path_to_id, f_uint_le, f_in_step, f_uint_arith, f_uint_width, file_lookup,
+        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, f_path_to_id, f_uint_le, f_in_step, f_in_step_all, f_uint_arith, f_uint_arith_all, f_uint_width, f_uint_width_all, file_lookup,
         tier_fallback, tier_bounds, file_end, nearest_nonempty, queue_start, segment_assign, valid_prefix, retention_victims, offload_pending, compact, decode_store, corrupt_skip, list_files,
     )
 }
