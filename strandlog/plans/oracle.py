@@ -236,4 +236,7 @@ select queue, entry_id, file_id from g
         'select distinct l_orderkey*l_orderkey*97 as v, case when l_orderkey*l_orderkey*97<256 then 1 when l_orderkey*l_orderkey*97<65536 then 2 when '
         'l_orderkey*l_orderkey*97<4294967296 then 4 else 8 end as size_bytes from lineitem'
     ),
+    "file_lookup_all": (
+        f'with {LOG}, {SEG} select l.queue,l.entry_id,s.file_id from log l join seg s on l.queue=s.queue and l.entry_id between s.first_id and s.last_id'
+    ),
 }

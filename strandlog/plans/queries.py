@@ -188,6 +188,10 @@ def file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.lookup(asked, _segments(spark, sf_dir))
 
 
+def file_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.lookup(_log(spark, sf_dir).select("queue", "entry_id"), _segments(spark, sf_dir))
+
+
 def tier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = _segments(spark, sf_dir).select("queue", "file_id")
     held = seg.where("file_id % 3 <> 0").withColumn("src", F.lit("DISK_STORE")).union(seg.where("file_id % 2 = 0").withColumn("src", F.lit("DISK_WAL"))).union(seg.withColumn("src", F.lit("CLOUD")))
@@ -307,7 +311,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_before_first, read_cross_tier, multi_read, last_id_status, read_frames, fanout, batch_id_assign, ordered_release, flush_ack_coalesce, subscribe, mem_evict_acked, mem_budget,
-        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, f_path_to_id, f_uint_le, f_in_step, f_in_step_all, f_uint_arith, f_uint_arith_all, f_uint_width, f_uint_width_all, file_lookup,
+        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, f_path_to_id, f_uint_le, f_in_step, f_in_step_all, f_uint_arith, f_uint_arith_all, f_uint_width, f_uint_width_all, file_lookup, file_lookup_all,
         tier_fallback, tier_bounds, file_end, nearest_nonempty, queue_start, segment_assign, valid_prefix, retention_victims, offload_pending, compact, decode_store, corrupt_skip, list_files,
     )
 }

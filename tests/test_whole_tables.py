@@ -10,3 +10,11 @@ from tests.test_oracle import DIR
 @pytest.mark.parametrize("name, rows", [("f_in_step_all", "l_orderkey"), ("f_uint_arith_all", "l_orderkey"), ("f_uint_width_all", "distinct l_orderkey")])
 def test_every_lineitem_is_taken(spark, name, rows):
     assert QUERIES[name](spark, DIR).count() == duckdb.sql(f"select count({rows}) from '{DIR}/lineitem.parquet'").fetchall()[0][0]
+
+
+def test_every_entry_is_looked_up(spark):
+    events = [r for r in duckdb.sql(f"select event_type, event_id from '{DIR}/events.parquet'").fetchall()]
+    want = []
+    for queue in {q for q, _ in events}:
+        want += [(queue, i, i // 64 + 1) for i in range(sum(q == queue for q, _ in events))]
+    assert sorted(map(tuple, QUERIES["file_lookup_all"](spark, DIR).select("queue", "entry_id", "file_id").collect())) == sorted(want)
