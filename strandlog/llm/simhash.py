@@ -47,15 +47,17 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits((2 * ones > n).ravel(), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bit pattern as a long), one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's bit pattern as a long), one row per input row; hashed: also t, the text's hash."""
+    more = ["t"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.fromiter((fingerprint(x.as_py(), size, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text", *[f"xxhash64(`{text_col}`) {x}" for x in more])
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {x} long" for x in more))
 
 
 def masks(radius: int) -> list[int]:
@@ -168,13 +170,14 @@ def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def components(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """For rows (doc_id, fp): one row per distinct fp with component_id, the smallest doc_id that it reaches."""
+    """For rows (doc_id, fp): one row per distinct fp with component_id, the smallest doc_id that it reaches, and root, the
+    smallest fp that it reaches, which also tells components without any doc_id apart."""
     own = C.written(fps.groupBy("fp").agg(F.min("doc_id").alias("own")), "fingerprints")
     roots = connected(bucket_edges(own.select("fp"), radius))
     stars = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
     least = stars.join(own, "fp").groupBy("root").agg(F.min("own").alias("least"))
-    linked = stars.join(least, "root").select("fp", "least")
-    return C.written(own.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id")), "components")
+    linked = stars.join(least, "root").select("fp", "root", "least")
+    return C.written(own.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id"), F.coalesce("root", "fp").alias("root")), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -184,13 +187,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest of their component, all columns as they were; of repeated rows one stays."""
-    _key, _least, _rank = "__simhash_key", "__simhash_least", "__simhash_rank"
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(C.doc_key("doc_id").alias(_key)).distinct()
-    kept = docs.withColumn(_key, C.doc_key(id_col)).join(stay, _key, "left_semi")
-    rank = F.expr(f"row_number() over (partition by `{_key}` order by xxhash64(`{text_col}`))")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """One document of each component, all columns as they were: that of the smallest doc_id (null after all others), of its
+    texts the one of the smallest hash. Only rows of one doc_id and one text collapse, to one row."""
+    _key, _text, _rank = "__simhash_key", "__simhash_text", "__simhash_rank"
+    fps = C.written(fingerprints(docs, id_col, text_col, size=size, seed=seed, hashed=True), "simhash")
+    found = fps.join(components(fps, radius).select("fp", "root"), "fp")
+    one = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one"))
+    stay = one.select(C.doc_key("one.doc_id").alias(_key), F.col("one.t").alias(_text))
+    kept = docs.withColumns({_key: C.doc_key(id_col), _text: F.xxhash64(F.col(text_col))}).join(stay, [_key, _text], "left_semi")
+    rank = F.expr(f"row_number() over (partition by `{_key}`, `{_text}` order by `{_key}`)")
     return kept.withColumn(_rank, rank).where(f"{_rank} = 1").select(*docs.columns)
 
 

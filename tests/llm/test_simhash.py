@@ -69,6 +69,18 @@ def test_components_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({w[2] for w in want})
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(9)]
+    assert all((brute(a) ^ brute(b)).bit_count() > 4 for a, b in combinations(texts, 2))
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])]  # components of null ids only, one with a copy
+    rows += [(1, texts[4]), (1, texts[5]), (1, texts[5])]  # one id, texts of two components
+    rows += [(2, texts[6]), (3, texts[6]), (3, texts[7]), (None, texts[7])]  # a copy under an id that has a text of its own
+    rows += [(4, texts[8]), (4, texts[8].upper())]  # one id, two texts of one component
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == sorted([*(("None", t) for t in texts[:4]), ("1", texts[4]), ("1", texts[5]), ("2", texts[6]), ("3", texts[7]), ("4", texts[8])])
+
+
 def test_long_chains_connect(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (300, 200)], "a long, b long")
     got = {r.node: r.root for r in S.connected(edges).collect()}
