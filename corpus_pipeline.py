@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlog.llm import bpe, common, langid, lines, simhash, winnowing
 
 MIN_SCORE = 0.4
+LINE_EDITS = 2
 #: Keys of 16 bytes that are broadcast at most, counted before.
 MOST_BROADCAST = 1_000_000
 
@@ -24,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; no document does."""
-    cleaned = lines.clean(docs)
+    """Lines that repeat an earlier line, or are within LINE_EDITS of one, go; no document does."""
+    cleaned = lines.clean(docs, edits=LINE_EDITS)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

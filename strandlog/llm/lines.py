@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line (trimmed of ASCII blanks, not empty) goes if an equal line, or one at edit distance 1 from it, occurs earlier: by doc_id,
-then by place. Lines shorter than `near_chars` are compared for equality only.
+A line (trimmed of ASCII blanks, not empty) goes if an equal line, or one at edit distance 1 (or up to `edits`) from it, occurs
+earlier: by doc_id, then by place. Lines shorter than `near_chars` are compared for equality only.
 
 Equal lines meet by a 128-bit hash. For distance 1 every line would emit all its one-deletion variants as hashed keys; to emit
 them only where a partner can be, the same idea first runs with whole blocks deleted: two lines at distance 1 agree in all but
@@ -56,8 +56,38 @@ def where_shared(keyed: DataFrame, most_broadcast: int) -> DataFrame:
     return keyed.join(both, F.col("at.key") == both["key"], "left_semi")
 
 
-def near_lines(lines: DataFrame, *, near_chars: int = 24, most_broadcast: int = 500_000) -> DataFrame:
-    """a, b of every line that has a line at edit distance 1 whose first place is earlier; keep_k, keep_pos: that of the earliest."""
+def near_lines_within(lines: DataFrame, edits: int, near_chars: int) -> DataFrame:
+    """near_lines for any bound, by verified candidates. Of edits + 1 segments of a line one is whole in each line within the bound
+    that is no shorter, moved by few places: keys are a line's segments and, of a line as the longer one, what stands
+    where a shorter one's segments can be. Nothing is missed; a key's lines are compared in pairs, so time grows with large groups."""
+    if near_chars <= edits:
+        raise ValueError("near_chars must be above edits: shorter lines have an empty segment")
+    n_parts = edits + 1
+    one = lines.where(f"n >= {near_chars}").groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
+    one = C.written(one, "long_lines")
+    size = f"((i + 1) * m) div {n_parts} - (i * m) div {n_parts}"
+    key = "xxhash64(m, i, substring(line, cast((i * m) div {0} + {1} + 1 as int), cast({2} as int)))"
+    own = f"transform(array(n), m -> transform(sequence(0, {edits}), i -> {key.format(n_parts, 0, size)}))"
+    # with i segments before and edits - i after it, a segment that is the first or last whole one moves by so much at most
+    shifts = f"sequence(greatest(-i, n - m - ({edits} - i)), least(i, n - m + {edits} - i))"
+    moved = f"filter({shifts}, d -> (i * m) div {n_parts} + d between 0 and n - ({size}))"
+    as_longer = f"transform(sequence(greatest(n - {edits}, {near_chars}), n), m -> flatten(transform(sequence(0, {edits}), i -> transform({moved}, d -> {key.format(n_parts, 'd', size)}))))"
+    at = lambda expr: one.select("a", F.explode(F.expr(f"array_distinct(flatten({expr}))")).alias("key"))
+    ours, theirs = at(as_longer), at(own).toDF("oa", "key")
+    pairs = ours.join(theirs, "key").where("a <> oa").select("a", "oa").distinct()
+    other = one.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("first").alias("other"), F.col("line").alias("other_line"))
+    sure = pairs.join(one, "a").join(other, "oa").where(f"levenshtein(line, other_line, {edits}) between 1 and {edits}")
+    gone = sure.select(F.expr("if(other < first, struct(a, b), struct(oa as a, ob as b))").alias("gone"), F.least("first", "other").alias("keep"))
+    found = gone.groupBy("gone.a", "gone.b").agg(F.min("keep").alias("keep"))
+    return C.written(found.selectExpr("a", "b", "keep.k as keep_k", "keep.pos as keep_pos"), "near_lines")
+
+
+def near_lines(lines: DataFrame, *, near_chars: int = 24, most_broadcast: int = 500_000, edits: int = 1) -> DataFrame:
+    """a, b of every line that has a line within `edits` whose first place is earlier; keep_k, keep_pos: that of the earliest."""
+    if edits < 1:
+        raise ValueError("edits must be 1 or more")
+    if edits > 1:
+        return near_lines_within(lines, edits, near_chars)
     long = lines.where(f"n >= {near_chars}")
     some = where_shared(long.select("k", "t", "pos", "line", "n", "a", "b", block_keys(QUARTER).alias("at")), most_broadcast)
     some = some.groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))

@@ -53,6 +53,28 @@ def test_against_brute_force(spark):
         assert L.clean(docs, near_chars=8).columns == docs.columns
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_wider_bounds_against_brute_force(spark, monkeypatch):
+    rows = corpus(random.Random(5))[:45]
+    rows += [(80 + i, "".join(x)) for i, x in enumerate(["abcdefghijklmnopqrst", "bcdefghijklmnopqrstu", "abXdefghijklmnopqrYt", "cdefghijklmnopqrst", "abcdefghijklmnopqrstuv", "aabbcdefghijklmnopqrst"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    removed = []
+    for edits in (1, 2, 3):
+        monkeypatch.setitem(globals(), "near", lambda a, b: a != b and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits)
+        got = L.dedup(docs, near_chars=8, edits=edits).collect()
+        assert sorted([(str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in got], key=str) == brute(rows, 8)
+        removed.append(sum(r.n_removed for r in got))
+    assert removed[0] < removed[1] < removed[2]
+
+
 def test_no_pairs_are_needed_in_a_large_group(spark):
     rows = [(i, "a common line of some length " + chr(0x4E00 + i)) for i in range(300)]
     got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
