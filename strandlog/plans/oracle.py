@@ -239,4 +239,12 @@ select queue, entry_id, file_id from g
     "file_lookup_all": (
         f'with {LOG}, {SEG} select l.queue,l.entry_id,s.file_id from log l join seg s on l.queue=s.queue and l.entry_id between s.first_id and s.last_id'
     ),
+    "batch_id_assign_all": (
+        f'with {LOG}, m as (select queue,max(entry_id) mx from log group by queue) select m.queue, m.mx + cast(row_number() over (partition by m.queue '
+        'order by b.c_custkey) as bigint) as entry_id, b.c_name as data from m cross join customer b'
+    ),
+    "file_path_all": (
+        f"with {LOG}, {SEG}, h as (select distinct file_id*397 as fid from seg) select fid, case when fid<4096 then concat(substr(x,4,3),'.store') else "
+        "concat(substr(x,1,3),'/',substr(x,4,3),'.store') end as path from (select fid,lpad(lower(hex(fid)),6,'0') as x from h) y"
+    ),
 }

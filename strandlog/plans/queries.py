@@ -80,6 +80,13 @@ def batch_id_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append.assign_ids(sent, last).select("queue", "entry_id", "data")
 
 
+def batch_id_assign_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = read.last_ids(_log(spark, sf_dir))
+    batch = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("data"))
+    sent = batch.crossJoin(F.broadcast(last.select("queue")))  # the whole table to each queue, a row per queue
+    return append.assign_ids(sent, last).select("queue", "entry_id", "data")
+
+
 def ordered_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append.release(_entries(_log(spark, sf_dir)).where("entry_id % 501 <> 500"))
 
@@ -131,6 +138,11 @@ def file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("fid", I.file_path(F.col("fid"), ".store").alias("path"))
 
 
+def file_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _segments(spark, sf_dir).select((F.col("file_id") * 397).alias("fid")).distinct()
+    return ids.select("fid", I.file_path(F.col("fid"), ".store").alias("path"))
+
+
 def f_path_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7919).alias("id"))
     return ids.select("id", I.path_to_id(I.file_path(F.col("id"), ".wal")).alias("back"))
@@ -310,8 +322,8 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        read_before_first, read_cross_tier, multi_read, last_id_status, read_frames, fanout, batch_id_assign, ordered_release, flush_ack_coalesce, subscribe, mem_evict_acked, mem_budget,
-        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, f_path_to_id, f_uint_le, f_in_step, f_in_step_all, f_uint_arith, f_uint_arith_all, f_uint_width, f_uint_width_all, file_lookup, file_lookup_all,
+        read_before_first, read_cross_tier, multi_read, last_id_status, read_frames, fanout, batch_id_assign, batch_id_assign_all, ordered_release, flush_ack_coalesce, subscribe, mem_evict_acked, mem_budget,
+        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, file_path_all, f_path_to_id, f_uint_le, f_in_step, f_in_step_all, f_uint_arith, f_uint_arith_all, f_uint_width, f_uint_width_all, file_lookup, file_lookup_all,
         tier_fallback, tier_bounds, file_end, nearest_nonempty, queue_start, segment_assign, valid_prefix, retention_victims, offload_pending, compact, decode_store, corrupt_skip, list_files,
     )
 }

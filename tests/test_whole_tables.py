@@ -18,3 +18,14 @@ def test_every_entry_is_looked_up(spark):
     for queue in {q for q, _ in events}:
         want += [(queue, i, i // 64 + 1) for i in range(sum(q == queue for q, _ in events))]
     assert sorted(map(tuple, QUERIES["file_lookup_all"](spark, DIR).select("queue", "entry_id", "file_id").collect())) == sorted(want)
+
+
+def test_the_whole_batch_is_numbered(spark):
+    got = QUERIES["batch_id_assign_all"](spark, DIR).collect()
+    customers, queues = (duckdb.sql(f"select count({x}) from '{DIR}/{t}.parquet'").fetchall()[0][0] for x, t in (("*", "customer"), ("distinct event_type", "events")))
+    assert len(got) == customers * queues > 20 * queues
+
+
+def test_paths_of_one_directory_are_there(spark):
+    got = {r.fid: r.path for r in QUERIES["file_path_all"](spark, DIR).collect()}
+    assert got[397] == "18d.store" and min(got) == 397
