@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlog.llm import common as C
 
 ROUNDS = 10
+#: Characters that are permuted as one number; longer secrets are cut into blocks.
+BLOCK = 200
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 HEX = "0123456789abcdef"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 #: Without one of these no value can be in a text.
 HINT = re.compile(r"[0-9@=:]|AKIA|ASIA")
 VALUE = re.compile(
-    r"""(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s?[=:]\s?["']?)(?P<code>[A-Za-z0-9_+/-]{8,200}+(?:\.[A-Za-z0-9_+/-]++)*+)|(?<![A-Za-z0-9])(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9]))"""
+    r"""(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s?[=:]\s?["']?)(?P<code>[A-Za-z0-9_+/-]{8,}+(?:\.[A-Za-z0-9_+/-]++)*+)|(?<![A-Za-z0-9])(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9]))"""
     r"""|(?P<email>(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{1,64}+)@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,})"""
     r"""|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"""
     r"""|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"""
@@ -197,7 +199,19 @@ class Pseudonyms:
         if m["access"]:
             return m["access"][:4] + self.letters("access", m["access"][4:])
         code = m["code"]
-        new = self.letters("secret", code, [HEX] if set(code) <= set(HEX) else None)
+        kinds = [HEX] if set(code) <= set(HEX) else None
+        if len(code) <= BLOCK:
+            return m[0][: -len(code)] + self.letters("secret", code, kinds)
+        # blocks of equal size, each under a tag of all that stands before it in the clear code, so they turn back in order
+        n = -(-len(code) // BLOCK)
+        ends = [len(code) * i // n for i in range(n + 1)]
+        new, seen = "", hashlib.blake2b(key=self.key[:64], digest_size=16)
+        for lo, hi in zip(ends, ends[1:]):
+            block, tag = code[lo:hi], f"secret:{len(code)}:{lo}:{seen.hexdigest()}"
+            moved = self.letters(tag, block, kinds)
+            self.made.clear()  # such a tag doesn't come again
+            seen.update((block if self.by > 0 else moved).encode())
+            new += moved
         return m[0][: -len(code)] + new
 
 
@@ -214,7 +228,7 @@ def replace(text: str, using: Pseudonyms) -> tuple[str, list[tuple[str, int, int
     while m := VALUE.search(text, seek):
         kind = next(k for k in KINDS if m[k] is not None)
         new = act[kind](m)
-        if new is None and kind in ("phone", "date", "ip", "iban", "ssn"):
+        if new is None and kind in ("phone", "date", "ip", "iban", "ssn", "card"):
             seek = m.start() + 1  # another kind may begin inside
             continue
         seek = m.end()

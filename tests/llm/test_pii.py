@@ -48,6 +48,25 @@ def test_values_keep_their_format_and_turn_back(kind):
         assert P.replace(f"again {value}.", there)[0] == f"again {core}."
 
 
+def test_long_secrets_are_replaced_whole():
+    rng = random.Random(2)
+    for n in (200, 201, 300, 5000):
+        one = "".join(rng.choice("abcXYZ0189_") for _ in range(n))
+        codes = [one, one[:-1] + "q", "q" + one[1:], "ab01" * (n // 4), one[: n // 2] + "." + one[n // 2 :]]
+        news = []
+        for code in codes:
+            new, found = P.replace(f"token={code} end", P.Pseudonyms(KEY))
+            assert found == [("secret", 0, 6 + len(code))] and len(new) == len(code) + 10
+            assert P.replace(new, P.Pseudonyms(KEY, -1))[0] == f"token={code} end"
+            news.append(new[6:-4])
+            assert not any(a == b for a, b in zip((code[i : i + 20] for i in range(0, n - 20, 20)), (news[-1][i : i + 20] for i in range(0, n - 20, 20))))
+        assert len(set(news)) == len(codes)
+
+
+def test_a_card_after_other_groups_is_found():
+    assert P.replace("2024 4111 1111 1111 1111", P.Pseudonyms(KEY))[1] == [("card", 5, 19)]
+
+
 def test_validity():
     there = P.Pseudonyms(KEY)
     card = P.replace("4337166598464399", there)[0]
