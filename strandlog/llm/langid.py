@@ -184,11 +184,12 @@ class Reader:
         begin = at[owner] + WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
         end = at[owner + 1]
         pooled, seen = np.zeros((self.k, len(n))), np.zeros(len(n))
-        for lo in range(0, len(owner), LANES):
-            place = begin[lo : lo + LANES] + np.arange(WINDOW)[:, None]
-            data = np.where(place < end[lo : lo + LANES], raw[np.minimum(place, len(raw) - 1)], 0)
+        lanes = max(1, LANES * 64 // max(64, self.k))  # as much memory for any number of languages
+        for lo in range(0, len(owner), lanes):
+            place = begin[lo : lo + lanes] + np.arange(WINDOW)[:, None]
+            data = np.where(place < end[lo : lo + lanes], raw[np.minimum(place, len(raw) - 1)], 0)
             got = self.windows(data)
-            who = owner[lo : lo + LANES]
+            who = owner[lo : lo + lanes]
             seen += np.bincount(who, IS_LETTER[data].sum(axis=0), len(n))
             for k in range(self.k):
                 pooled[k] += np.bincount(who, got[k], len(n))
@@ -201,14 +202,14 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-    per_lang: int = 400, per_text: int = 12, most_langs: int = 64, **training,
+    per_lang: int = 400, per_text: int = 12, **training,
 ) -> Network | None:
     """Train on windows of labelled texts; None if no text with a language has a letter.
 
-    The sample is bounded: about per_lang texts of each of the most_langs most frequent languages, chosen by a hash of the id,
+    The sample is bounded: about per_lang texts of each language, however rare, chosen by a hash of the id,
     and per_text windows of each, at places that a hash chooses. No more than these windows reach the driver."""
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])

@@ -71,6 +71,14 @@ def test_held_out_accuracy_and_defined_results(spark):
     assert all((a == b).all() for a, b in zip(again[0].weights(), again[1].weights()))
 
 
+def test_every_language_is_learned(spark):
+    rows = [(1000 * k + i, f"text number {i} of the language", f"l{k:03d}") for k in range(70) for i in range(1 if k == 69 else 2)]
+    net = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=1, lanes=4)
+    assert net.langs == [f"l{k:03d}" for k in range(70)]
+    docs = spark.createDataFrame(rows[:3], "doc_id long, text string, lang string")
+    assert all(r.lang_pred in net.langs and 0 < r.score < 1 for r in L.predict(docs, net).collect())
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert L.fit(docs) is None
