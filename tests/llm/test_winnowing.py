@@ -47,7 +47,7 @@ def corpus(rng):
     return rows + [rows[20], rows[20]], items
 
 
-@pytest.mark.parametrize("options", [{}, {"k": 6, "most_broadcast": 0}])
+@pytest.mark.parametrize("options", [{}, {"k": 6, "most_broadcast": 0, "most_bytes": 0, "most_keys": 0}])
 def test_against_brute_force(spark, options):
     rows, items = corpus(random.Random(len(options)))
     docs = spark.createDataFrame([(i, t, [1]) for i, t in rows], "doc_id long, text string, hits array<int>").repartition(3)
@@ -59,15 +59,31 @@ def test_against_brute_force(spark, options):
 def test_every_shared_span_shares_a_fingerprint(spark):
     rng = random.Random(4)
     lines = [(i, [rng.choice("ab") for _ in range(30)]) for i in range(12)]
-    df = spark.createDataFrame(lines, "i int, words array<string>")
-    kept = {r.i: {(f.hash, f.place) for f in r.f} for r in df.select("i", W.fingerprints("words", 4, 5).alias("f")).collect()}
+    df = spark.createDataFrame([(i, x, a[x : x + 8]) for i, a in lines for x in range(23)], "i int, x int, words array<string>")
+    kept = {(r.i, r.x): set(r.f) for r in df.select("i", "x", W.fingerprints("words", 4, 5).alias("f")).collect()}
+    whole = {r.i: set(r.f) for r in spark.createDataFrame(lines, "i int, words array<string>").select("i", W.fingerprints("words", 4, 5).alias("f")).collect()}
+    assert all(len(f) == 1 and f <= whole[i] for (i, _), f in kept.items())
     for i, a in lines:
         for j, b in lines:
             for x in range(23):
                 for y in range(23):
                     if a[x : x + 8] == b[y : y + 8]:
-                        at = lambda n, s: {(h, p - s) for h, p in kept[n] if s <= p <= s + 4}
-                        assert at(i, x) & at(j, y)
+                        assert kept[i, x] == kept[j, y]
+
+
+def test_runs_are_hashed_by_their_words(spark):
+    rng = random.Random(5)
+    words = [rng.choice("abc") for _ in range(40)]
+    for r in spark.createDataFrame([(words,)], "w array<string>").select(W.runs("w", range(1, 8)).alias("r")).first().r:
+        grams = [tuple(words[i : i + r.size]) for i in range(len(words) - r.size + 1)]
+        assert len(r.hashes) == len(grams) and len(set(grams)) == len(set(r.hashes)) == len(set(zip(grams, r.hashes)))
+
+
+def test_capital_letters_and_forms_of_one_letter(spark):
+    docs = [(1, "x ΑΣ'Β y"), (2, "x ας Β y"), (3, "X ΑΣ-Β Y"), (4, "x İI y"), (5, "x ıi y"), (6, "x İi Y")]
+    items = [(1, "x ΑΣ Β y"), (2, "x İI y")]
+    got = W.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got) == brute(docs, items)
 
 
 def test_empty_tables(spark):
