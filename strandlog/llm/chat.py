@@ -7,9 +7,9 @@ text can end a turn and unescaping gives back the text exactly. The loss mask ho
 marks or placeholders.
 
 `render` writes one conversation; `format_conversations` does it for a table of turns: rows are dealt by conversation, sorted
-by turn inside Spark, and written turn by turn, so memory holds one turn, not one conversation. `parse` reads an output back.
+by turn inside Spark, and written turn by turn, so memory holds an Arrow batch of turns, not a conversation. `parse` reads an output back.
 
-Defined results: a null text is empty; a null role is `user`; a null conv_id is a conversation of its own; rows that tie in
+Defined results: a null text is empty; a null role is `user`; all rows with a null conv_id are one conversation; rows that tie in
 turn follow each other by role, then text; repeated rows are turns of their own; an unknown role is kept as it is; unknown part
 types are errors, as is a part without what its type needs; further columns are ignored.
 """
@@ -32,12 +32,13 @@ BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 ROLE_OPEN, ROLE_CLOSE, ROLE_END = "<|role:", "|>", "<|end|>"
 PLACEHOLDER = "<|{kind}:{number}|>"
 CONTROL = (BOS, EOS, OPEN, CLOSE, "<|", "|>")
-_escape = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
+#: A backslash goes after each of these; control strings may overlap, so what follows is only looked at.
+_escape = re.compile(r"\\|<(?=/?s>|\|)|\[(?=/?INST\])|\|(?=>)")
 PATCH, FRAME_S, PAGE_TOKENS = 14, 0.02, 768
 
 
 def escape(text: str) -> str:
-    return _escape.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
+    return _escape.sub(r"\g<0>\\", text)
 
 
 def unescape(text: str) -> str:
@@ -249,8 +250,8 @@ def op1_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 with c as (select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<\||\|>')) as n,
-  length(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[INST\]|\[/INST\]|<\||\|>')) as r from c),
+e as (select *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<\|')) + len(regexp_extract_all(text, '\|>')) as n,
+  length(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[INST\]|\[/INST\]|<\|')) + len(regexp_extract_all(role, '\|>')) as r from c),
 g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
   coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '') as loss,
   3 + sum(n + case role when 'user' then 15 when 'assistant' then 6 else r + 16 end) as formatted_chars from e group by conv_id)

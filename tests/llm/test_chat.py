@@ -18,7 +18,7 @@ def test_escapes_turn_back_and_hide_control_strings(text):
     assert not any(x in hidden for x in H.CONTROL)
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "to|>ol", "/"]), st.lists(st.sampled_from(PIECES), max_size=6).map("".join)), max_size=5))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "to|>ol", "/", "<|>", "a<|>b", "|>>", "\\<|", "<s>[INST]"]), st.lists(st.sampled_from(PIECES), max_size=6).map("".join)), max_size=5))
 def test_parse_reads_back(turns):
     flat = H.render([(r, [Part("text", t)]) for r, t in turns])
     whole = "".join(flat.out)
@@ -59,6 +59,16 @@ def test_tables(spark):
     assert H.digests(H.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_joined_pieces_are_one_readable_string(spark):
+    rows = [(1, 0, "<|>", "x<|>y"), (1, 1, "assistant", "<</s>[[INST]"), (1, 2, "a<|>b", "|>|>"), (1, 3, "user", "\\<|\\>"), (1, 4, "assistant", " ok </s>")]
+    pieces = H.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
+    whole = "".join(p.piece for p in pieces)
+    assert H.parse(whole) == [(r, t) for _, _, r, t in rows]
+    assert [H.unescape(whole[s.begin : s.end]) for p in pieces for s in p.loss] == [rows[1][3], rows[4][3]]
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert H.digests(H.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first().turns_sha256 == want
+
+
 def test_table_of_parts(spark):
     parts = "array<struct<type string, text string, ref string, width int, height int, seconds double, pages int>>"
     turns = spark.createDataFrame([(1, 0, "user", None, [("text", "a", None, None, None, None, None), ("image", None, "r", 14, 14, None, None)])], f"conv_id long, turn long, role string, text string, parts {parts}")
