@@ -13,10 +13,9 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-import os
 import re
-import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -56,6 +55,8 @@ LATIN = _pattern(re, f"[{_of['L']}]", f"[{_of['N']}]", rf"[^{SPACE}{_of['L']}{_o
 ANY = _pattern(regex, rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]", rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER}]]", regex.V1)
 LOWERED = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
 MEMO = 600_000
+#: From so many bytes on a word is merged with a heap; below, looking at all its pairs is faster.
+LONG = 100
 _open: dict[str, Lexicon] = {}
 
 
@@ -91,6 +92,8 @@ class Model:
         """The ids of one word: again and again the pair of lowest rank, the first of equal ones, becomes one."""
         parts = [self.first_ids[b] for b in word]
         parts[-1] = self.suffix_ids[word[-1]]
+        if len(parts) > LONG:
+            return self._merge_long(parts)
         rank, none = self.ranks.get, len(self.made)
         ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) < none:
@@ -103,6 +106,30 @@ class Model:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return tuple(parts)
 
+    def _merge_long(self, parts: list[int]) -> tuple[int, ...]:
+        """The same by a heap of (rank, place) and neighbours' links; a pair that has changed since it was put there is skipped."""
+        n, rank, none = len(parts), self.ranks.get, len(self.made)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks = [*(rank(pair, none) for pair in zip(parts, parts[1:])), none]
+        heap = [(x, i) for i, x in enumerate(ranks) if x < none]
+        heapq.heapify(heap)
+        while heap:
+            least, i = heapq.heappop(heap)
+            if ranks[i] != least:
+                continue
+            gone, parts[i] = after[i], self.made[least]
+            parts[gone], ranks[gone], after[i] = -1, none, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and (right := after[left]) < n:
+                    ranks[left] = rank((parts[left], parts[right]), none)
+                    if ranks[left] < none:
+                        heapq.heappush(heap, (ranks[left], left))
+                elif left >= 0:
+                    ranks[left] = none
+        return tuple(x for x in parts if x >= 0)
+
     def frequent(self) -> Iterable[bytes]:
         """The words that the vocabulary spells in one token."""
         back = {c: i for i, c in enumerate(self.letters)}
@@ -171,11 +198,8 @@ def encode(
     model = Model(tokenizer)
     data = compiled(model, more_words)
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="strandlog-lexicon-"), name)
     if not any(str(x).endswith(name) for x in sc.listFiles):
-        with open(path, "wb") as file:
-            file.write(data)
-        sc.addFile(path)  # Spark gives each executor a copy of its own to map
+        sc.addFile(C.shared_file(docs.sparkSession, name, data))  # Spark gives each executor a copy of its own to map
     shared = sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ row neither multiplies nor loses its result; a null doc_id sorts before every ot
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,19 +25,60 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named."""
+    """The folder that driver and executors share. Where the session names none, one of our own in local mode; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlog-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """The URI of a file with these bytes in the shared folder."""
+    part = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+    system, path = _file_system(spark, f"{shared_dir(spark)}/{name}")
+    if not system.exists(path):
+        stream = system.create(_file_system(spark, part)[1])
+        stream.write(data)
+        stream.close()
+        system.rename(_file_system(spark, part)[1], path)
+        _made.append((spark, str(path)))
+    return str(system.makeQualified(path))
+
+
+#: What this process has written to shared folders. Results are lazy and read it, so it goes at the end, or by remove().
+_made: list[tuple[SparkSession, str]] = []
+
+
+def remove(*paths: str) -> None:
+    """Delete tables that `written` has made; without paths, all."""
+    for spark, path in [x for x in _made if not paths or x[1] in paths]:
+        _made.remove((spark, path))
+        system, there = _file_system(spark, path)
+        system.delete(there, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        remove()
+    except Exception:  # the JVM is gone: the folder's owner cleans it
+        _made.clear()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: df as a Parquet table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append((df.sparkSession, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

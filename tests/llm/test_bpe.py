@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -51,6 +52,23 @@ def test_texts(both):
         agree(both, "".join(rng.choice("aeiounrstAB \n'.,éßΣ9") for _ in range(rng.randint(1, 90))))
 
 
+def test_long_words(both):
+    rng = random.Random(3)
+    for n in (99, 100, 101, 150, 700, 5000):
+        for letters in ("a", "ab", "etaoinshrdlu", "aé日"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            agree(both, word + " x")
+    model = both[0].model
+    for _ in range(300):
+        word = "".join(rng.choice("etaoin") for _ in range(rng.randint(2, 60))).encode()
+        parts = [model.first_ids[b] for b in word]
+        parts[-1] = model.suffix_ids[word[-1]]
+        assert model._merge_long(parts) == model.merge(word)
+    began = time.perf_counter()
+    agree(both, "".join(rng.choice("etaoinshrdlu") for _ in range(200_000)))
+    assert time.perf_counter() - began < 10
+
+
 def test_query(spark):
     theirs = Tokenizer.from_file(PATH)
     rows = [(1, "One two"), (1, "One two"), (2, None), (None, ""), (3, "long " * 5000)]
