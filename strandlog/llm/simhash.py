@@ -61,9 +61,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def masks(radius: int) -> list[int]:
-    """The covering family: 2^(radius+1) - 1 masks of 64 bits; any `radius` bits are all absent from one of them."""
+    """The covering family: 2^(radius+1) - 1 masks of 64 bits; any `radius` bits are all absent from one of them.
+
+    With fewer vectors than bits all are used in turn; else those whose first coordinate is one, so that every mask keeps 32 bits
+    (one keeps all): any other choice has weaker masks, whose buckets are larger."""
     top = 1 << (radius + 1)
-    vectors = [i % (top - 1) + 1 for i in range(64)]
+    half = top >> 1
+    vectors = [i % (top - 1) + 1 for i in range(64)] if top <= 64 else [half + (i * 37 + (i >> 1)) % half if half > 64 else half + i for i in range(64)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, top)]
 
 
@@ -121,7 +125,7 @@ def bucket_edges(distinct: DataFrame, radius: int = 4) -> DataFrame:
     rows = distinct.select("fp", keys.alias("at")).select("at.v", "at.key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
 
         def linked(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.concatenate(([True], (np.diff(v) != 0) | (np.diff(key) != 0))))
@@ -140,13 +144,15 @@ def bucket_edges(distinct: DataFrame, radius: int = 4) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [np.asarray(batch.column(i)).astype(np.int64) for i in range(3)]
-            now = [np.concatenate(x) for x in zip(held, now)] if held else now
-            last = len(now[0]) - 1
-            whole = int(np.flatnonzero((now[0] != now[0][last]) | (now[1] != now[1][last])).max(initial=-1)) + 1
-            held = [x[whole:] for x in now]
-            yield from linked(*(x[:whole] for x in now)) if whole else ()
+            whole = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1])).max(initial=-1)) + 1
+            if held and not whole and held[-1][0][-1] == now[0][0] and held[-1][1][-1] == now[1][0]:
+                held.append(now)  # a bucket over several batches is put together once, at its end
+                continue
+            done = [np.concatenate(x) for x in zip(*held, [x[:whole] for x in now])]
+            yield from linked(*done) if len(done[0]) else ()
+            held = [[x[whole:] for x in now]]
         if held:
-            yield from linked(*held)
+            yield from linked(*(np.concatenate(x) for x in zip(*held)))
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "v", "key").sortWithinPartitions("v", "key").mapInArrow(run, "a long, b long").distinct()

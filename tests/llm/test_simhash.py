@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from strandlog.llm import simhash as S
@@ -28,6 +29,40 @@ def test_masks_cover_every_pair_within_the_radius():
         assert any(not m & (1 << pair[0] | 1 << pair[1]) for m in S.masks(4))
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 5, 6, 7])
+def test_masks_of_other_radii(radius):
+    rng = random.Random(radius)
+    masks = S.masks(radius)
+    for _ in range(2000):
+        away = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not m & away for m in masks)
+    assert min(m.bit_count() for m in masks) >= (32 if radius != 7 else 16)
+
+
+def test_a_bucket_over_many_batches(spark):
+    rng = random.Random(7)
+    base = rng.getrandbits(63)
+    values = sorted({base ^ sum(1 << b for b in rng.sample(range(20), 2)) for _ in range(150)} | {rng.getrandbits(63) for _ in range(20)})
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        edges = S.bucket_edges(distinct, 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    root = {v: v for v in values}
+    for _ in values:
+        for e in edges:
+            root[e.a] = root[e.b] = min(root[e.a], root[e.b])
+    want = {v: v for v in values}
+    for _ in range(6):
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= 4:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert root == want
+
+
 def test_fingerprint():
     for text in [None, "", " \n", "A", "é b\x85C D", "a b c d", "a b c d e f a b c d", "X\x0bY\x1cZ Ä b c d e"]:
         assert S.fingerprint(text) == brute(text), text
