@@ -45,6 +45,35 @@ def test_against_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_the_verdict_against_brute_force(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        words, run = new(rng.choice([60, 100, 200])), new(rng.choice([9, 10, 11, 16, 31]))
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            at = rng.randint(0, len(words))
+            words[at:at] = run
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r for r in R.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def covered(words):
+        where = {}
+        for p in range(len(words) - 9):
+            where.setdefault(tuple(words[p : p + 10]), []).append(p)
+        return len({q for places in where.values() if len(places) > 1 for p in places for q in range(p, p + 10)})
+
+    def longest(words):
+        return max((k for k in range(1, 40) if len({tuple(words[p : p + k]) for p in range(len(words) - k + 1)}) < len(words) - k + 1), default=0)
+
+    for i, text in rows:
+        words = text.split()
+        fine = covered(words) <= 0.2 * len(words) and longest(words) <= 0.15 * len(words)
+        assert got[i].kept == (fine and not got[i].base_failed), i
+    assert 5 < sum(not r.kept and not r.base_failed for r in got.values()) < 55
+    assert any(r.kept and r.covered_words for r in got.values())
+
+
 def test_repeats_do_not_cross_texts():
     codes, at = np.array([1, 2, 3, 1, 2, 3]), np.array([0, 3, 6])
     assert R.longest_repeats(codes, at).tolist() == [0] * 6
