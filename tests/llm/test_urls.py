@@ -60,7 +60,33 @@ def test_trees_learn_and_score_as_they_read(spark):
 
 def test_features(spark):
     row = U.featured(U.split_url(spark.createDataFrame([("http://a.bb.org/x/yyyyyy/?p=1&q=22#z",)], "url string")).withColumn("label", F.lit(None).cast("int")), "url").first()
-    assert (row.f_depth, row.f_parameters, row.f_host_labels, row.f_host_length, row.f_longest_segment, row.f_suffix_blocked, row.f_suffix_frequency) == (2, 2, 3, 4, 3, 0, 1)
+    assert (row.f_depth, row.f_parameters, row.f_host_labels, row.f_host_length, row.f_longest_segment, row.f_suffix_blocked, row.f_suffix_frequency) == (2, 2, 3, 4, 3, 15, 0)
+
+
+def test_suffix_statistics_leave_out_their_fold(spark):
+    hosts = [f"h{i}.{s}" for i in range(30) for s in ("aa", "bb", "cc")]
+    label = lambda h: 1 if h.endswith("aa") else None if h.endswith("bb") and int(h[1:-3]) % 5 == 4 else int(h.endswith("bb") and int(h[1:-3]) % 3 == 0)
+    rows = spark.createDataFrame([(h, "/", "http://" + h, label(h)) for h in hosts], "host string, path string, url string, label int")
+    told = [x for x in map(label, hosts) if x is not None]
+    share = sum(told) / len(told)
+    fold = {r.host: r.f for r in rows.select("host", F.expr("pmod(xxhash64(host), 5) as f")).collect()}
+    for r in U.featured(rows, "url").collect():
+        if not r.host.endswith("bb"):  # one label only
+            assert (r.f_suffix_blocked, r.f_suffix_frequency) == (int(31 * share), 0)
+            continue
+        others = [label(h) for h in hosts if h.endswith("bb") and label(h) is not None and (r.label is None or fold[h] != fold[r.host])]
+        assert r.f_suffix_blocked == int(31 * (sum(others) + 20 * share) / (len(others) + 20)) and r.f_suffix_frequency == 4
+
+
+def test_held_out_hosts(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        bad = rng.random() < 0.5
+        tail = "".join(rng.choice("0123456789") for _ in range(30)) if bad else "one/two"
+        rows.append((f"http://h{i % 90}.{'example.net' if not bad else 'x.net'}/{'en/' if not bad else ''}{tail}",))
+    right, n = U.held_out(spark.createDataFrame(rows, "url string"), features=["length", "depth", "digits"], trees=3)
+    assert right > 0.95 and 40 < n < 250
 
 
 def test_nothing_to_learn_and_empty(spark):
