@@ -8,6 +8,7 @@ row neither multiplies nor loses its result; a null doc_id sorts before every ot
 from __future__ import annotations
 
 import atexit
+import secrets
 import tempfile
 import uuid
 
@@ -55,6 +56,23 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return str(system.makeQualified(path))
 
 
+def kept_secret(spark: SparkSession, name: str, size: int = 32) -> bytes:
+    """Random bytes that the first to ask makes; they stay in the shared folder, so all later runs get the same ones."""
+    system, path = _file_system(spark, f"{shared_dir(spark)}/{name}")
+    if not system.exists(path):
+        part = _file_system(spark, f"{path}.{uuid.uuid4().hex}")[1]
+        stream = system.create(part)
+        stream.write(secrets.token_bytes(size))
+        stream.close()
+        system.setPermission(part, spark._jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+        if not system.rename(part, path):
+            system.delete(part, False)  # another process was first
+    stream = system.open(path)
+    got = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    return got
+
+
 #: What this process has written to shared folders. Results are lazy and read it, so it goes at the end, or by remove().
 _made: list[tuple[SparkSession, str]] = []
 

@@ -7,17 +7,27 @@ Equal values get equal pseudonyms in all documents, different values different o
 The permutation is a Feistel network on pairs of residues with cycle walking down to the format's size, E; the pseudonym of x is
 E^-1(E(x) + 1), one cycle through all values, so no value is its own pseudonym however small its format is.
 
-Kinds: card, iban, ssn, ip, date, phone, email (its local part), secret (access keys, passwords and tokens after their name).
-Defined results: a null text stays null with no values; texts are read whole; repeated rows get equal results; further columns
-are ignored.
+Kinds: card, iban, ssn, ip (both versions), date, phone, email (its local part), secret (access keys, tokens with a known
+beginning, and passwords and tokens after their name).
+
+A date's format is its separator, order and number of digits: the pseudonym of 1.2.2003 has one digit for day and month too. With
+year last and `/` or `-`, month comes first unless only day first is a date. Dates of equal digits are linked over all separators
+and orders; 1.2.2003 and 01.02.2003 aren't. Letters beyond ASCII are replaced by letters of their kind and script.
+
+Defined results: a null text stays null with no values; texts and values are read whole; repeated rows get equal results; dates
+before 1900 or after 2099 and values that fail validation stay; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -32,13 +42,15 @@ LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 #: Without one of these no value can be in a text.
-HINT = re.compile(r"[0-9@=:]|AKIA|ASIA")
+HINT = re.compile(r"[0-9@=:]|AKIA|ASIA|[bB]earer|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k[-_]")
 VALUE = re.compile(
-    r"""(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s?[=:]\s?["']?)(?P<code>[A-Za-z0-9_+/-]{8,}+(?:\.[A-Za-z0-9_+/-]++)*+)|(?<![A-Za-z0-9])(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9]))"""
-    r"""|(?P<email>(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{1,64}+)@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,})"""
+    r"""(?P<secret>(?i:\b(?:(?:password|passwd|pwd)\b["']?\s?[=:]\s?["']?(?=[A-Za-z0-9_+/-]{4})|(?:secret|token|api[_-]?key)\b["']?\s?[=:]\s?["']?(?=[A-Za-z0-9_+/-]{8})|bearer\s(?=[A-Za-z0-9_+/.-]{16})))(?P<code>[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+)"""
+    r"""|(?<![A-Za-z0-9])(?:(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k-|[sr]k_live_|[sr]k_test_)(?P<known>[A-Za-z0-9_-]{16,}+)))"""
+    r"""|(?P<email>(?<![\w.%+\u0300-\u036f-])(?P<local>[\w.%+\u0300-\u036f-]++)@[^\W_](?:[\w\u0300-\u036f-]*+\.)+[^\W\d_]{2,})"""
     r"""|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"""
     r"""|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"""
-    r"""|(?P<date>(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]))"""
+    r"""|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))"""
+    r"""|(?P<date>(?<![0-9])(?:[0-9]{4}(?P<a>[-/.])[0-9]{1,2}(?P=a)[0-9]{1,2}|[0-9]{1,2}(?P<b>[-/.])[0-9]{1,2}(?P=b)[0-9]{4})(?![0-9]))"""
     r"""|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"""
     r"""|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9]|[-./:][0-9])|(?<![0-9+])(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]))"""
     r"""|(?P<card>(?<![0-9])(?:[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<bar>[ -])[0-9]{6}(?P=bar)[0-9]{5}|[0-9]{13,19})(?![0-9]))"""
@@ -85,6 +97,24 @@ def luhn(digits: str) -> int:
     return -(sum(x - 9 * (x > 9) for x in twice) + sum(map(int, digits[-2::-2]))) % 10
 
 
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """The letters that may stand for c, itself among them; empty for what is no letter or digit."""
+    if c.isascii():
+        return next((a for a in (LOWER, UPPER, DIGIT) if c in a), "")
+    kind = unicodedata.category(c)
+    if kind[0] not in "LNM":
+        return ""
+    return "".join(x for x in map(chr, range(max(ord(c) & ~0xFF, 128), (ord(c) | 0xFF) + 1)) if unicodedata.category(x) == kind)
+
+
+@lru_cache(maxsize=32)
+def days(day_digits: int, month_digits: int, least_day: int = 1) -> list[int]:
+    """The days, counted from FIRST_DAY, that can be written with so many digits for day and month."""
+    fits = lambda d: (day_digits == 2 or d.day < 10) and (month_digits == 2 or d.month < 10) and d.day >= least_day
+    return [i for i in range(DAYS) if fits(datetime.date.fromordinal(FIRST_DAY + i))]
+
+
 def mod_97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
@@ -102,15 +132,14 @@ class Pseudonyms:
 
     def letters(self, tag: str, text: str, alphabets: list[str] | None = None) -> str:
         """text with each letter replaced within its alphabet, all as one number; what is in none stays."""
-        kinds = alphabets or [LOWER, UPPER, DIGIT]
-        own = [next((a for a in kinds if c in a), "") for c in text]
+        own = [next((a for a in alphabets if c in a), "") if alphabets else alphabet(c) for c in text]
         place, size = 0, 1
         for c, a in zip(text, own):
             if a:
                 place, size = place * len(a) + a.index(c), size * len(a)
         if size < 2:
             return text
-        shape = "".join(str(kinds.index(a)) if a else c for c, a in zip(text, own))
+        shape = "".join({LOWER: "0", UPPER: "1", DIGIT: "2", HEX: "0", HEX.upper(): "1"}.get(a, a[0]) if a else c for c, a in zip(text, own))
         place, out = self._moved(f"{tag}:{shape}", place, size), []
         for c, a in zip(reversed(text), reversed(own)):
             if a:
@@ -157,21 +186,36 @@ class Pseudonyms:
         place = self._moved("ip", int.from_bytes(bytes(map(int, octets))), 1 << 32)
         return ".".join(map(str, place.to_bytes(4)))
 
-    def date(self, m: re.Match) -> str | None:
-        sep = re.search("[-./]", m[0])[0]
-        order = {"-": "ymd", ".": "dmy", "/": "mdy"}[sep]
-        parts = m[0].split(sep)
-        told = dict(zip(order, map(int, parts)))
+    def ip6(self, m: re.Match) -> str | None:
+        digits = m[0].replace(":", "")
         try:
-            place = datetime.date(told["y"], told["m"], told["d"]).toordinal() - FIRST_DAY
+            ipaddress.IPv6Address(m[0])
         except ValueError:
             return None
-        if not 0 <= place < DAYS:
+        if len(digits) < 4 or not any(c in DIGIT for c in digits):
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + self._moved("date", place, DAYS))
-        now = {"y": new.year, "m": new.month, "d": new.day}
-        padded = any(len(p) == 2 and p[0] == "0" for p in parts) or all(len(p) > 1 for p in parts)
-        return sep.join(str(now[k]).zfill(2 if padded and k != "y" else 1) for k in order)
+        kinds = [HEX] if digits == digits.lower() else [HEX.upper()] if digits == digits.upper() else [DIGIT, HEX[10:], HEX[10:].upper()]
+        return self.letters("ip6", m[0], kinds)
+
+    def date(self, m: re.Match) -> str | None:
+        sep = m["a"] or m["b"]
+        parts = m[0].split(sep)
+        for order in ("ymd",) if m["a"] else ("dmy",) if sep == "." else ("mdy", "dmy"):
+            text = dict(zip(order, parts))
+            try:
+                place = datetime.date(*(int(text[k]) for k in "ymd")).toordinal() - FIRST_DAY
+            except ValueError:
+                continue
+            # where both orders are in use, day first is told by a day over 12
+            shape = (len(text["d"]), len(text["m"]), 13 if order == "dmy" and sep != "." else 1)
+            among = days(*shape)
+            at = bisect_left(among, place)
+            if at == len(among) or among[at] != place:
+                return None
+            new = datetime.date.fromordinal(FIRST_DAY + among[self._moved(f"date:{shape}", at, len(among))])
+            now = {"y": str(new.year), "m": str(new.month).zfill(shape[1]), "d": str(new.day).zfill(shape[0])}
+            return sep.join(now[k] for k in order)
+        return None
 
     def phone(self, m: re.Match) -> str | None:
         head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|\+[0-9]{2}|", m[0])[0]
@@ -198,7 +242,7 @@ class Pseudonyms:
     def secret(self, m: re.Match) -> str | None:
         if m["access"]:
             return m["access"][:4] + self.letters("access", m["access"][4:])
-        code = m["code"]
+        code = m["known"] or m["code"]
         kinds = [HEX] if set(code) <= set(HEX) else None
         if len(code) <= BLOCK:
             return m[0][: -len(code)] + self.letters("secret", code, kinds)
@@ -215,7 +259,7 @@ class Pseudonyms:
         return m[0][: -len(code)] + new
 
 
-KINDS = ("secret", "email", "iban", "ip", "date", "ssn", "phone", "card")
+KINDS = ("secret", "email", "iban", "ip", "ip6", "date", "ssn", "phone", "card")
 
 
 def replace(text: str, using: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
@@ -228,14 +272,14 @@ def replace(text: str, using: Pseudonyms) -> tuple[str, list[tuple[str, int, int
     while m := VALUE.search(text, seek):
         kind = next(k for k in KINDS if m[k] is not None)
         new = act[kind](m)
-        if new is None and kind in ("phone", "date", "ip", "iban", "ssn", "card"):
+        if new is None and kind in ("phone", "date", "ip", "ip6", "iban", "ssn", "card"):
             seek = m.start() + 1  # another kind may begin inside
             continue
         seek = m.end()
         if new is not None:
             out += [text[at : m.start()], new]
             at = m.end()
-            found.append((kind, m.start(), m.end() - m.start()))
+            found.append(("ip" if kind == "ip6" else kind, m.start(), m.end() - m.start()))
     return ("".join([*out, text[at:]]), found) if found else (text, found)
 
 
@@ -255,8 +299,12 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, text string, spans array<struct<kind string, begin int, length int>>")
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The setting spark.strandlog.pseudonym.key; without it a random key, made once and kept in the shared folder."""
+    told = spark.conf.get("spark.strandlog.pseudonym.key", None)
+    return told.encode() if told else C.kept_secret(spark, "pseudonym.key")
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key comes from spark.strandlog.pseudonym.key; the default serves tests only."""
-    key = spark.conf.get("spark.strandlog.pseudonym.key", "key for tests").encode()
-    found = pseudonymise(C.load(spark, sf_dir, "documents"), key)
+    found = pseudonymise(C.load(spark, sf_dir, "documents"), key_of(spark))
     return found.selectExpr("doc_id", "text", "cast(size(spans) as bigint) as n_replaced", "array_sort(array_distinct(spans.kind)) as kinds")
