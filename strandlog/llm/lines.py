@@ -1,11 +1,11 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line (trimmed of ASCII blanks, not empty) goes if an equal line, or one at edit distance 1 (or up to `edits`) from it, occurs
-earlier: by doc_id, then by place. Lines shorter than `near_chars` are compared for equality only.
+earlier: by doc_id, then by place. Lines of all lengths are compared; `near_chars` can leave short ones to equality.
 
 Equal lines meet by a 128-bit hash. For distance 1 every line would emit all its one-deletion variants as hashed keys; to emit
 them only where a partner can be, the same idea first runs with whole blocks deleted: two lines at distance 1 agree in all but
-one block, so they share the key of what is left of it. That is done with quarters of a line, then with short blocks for the
+one block, so they share the key of what is left of it. That is done with halves of a line, then with short blocks for the
 lines that found a partner, then with single characters for the blocks that did. No step drops a pair.
 
 Variants carry the deleted place: lines of one length that share a variant at one place differ there alone, and a line equal to a
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from strandlog.llm import common as C
 
 TRIMMED = "transform(split(text, '\\n'), x -> trim(BOTH ' \\t\\r\\u000B\\f' FROM x))"
-#: Width of blocks for a line of n characters: quarters, and blocks near the root of its length.
-QUARTER = "shiftleft(1, length(bin({n} - 1)) - 2)"
+#: Width of blocks for a line of n characters: halves, and blocks near the root of its length.
+HALF = "(({n} + 1) div 2)"
 SHORT = "shiftleft(1, greatest(4, (length(bin({n} - 1)) + 1) div 2))"
 
 
@@ -60,8 +60,6 @@ def near_lines_within(lines: DataFrame, edits: int, near_chars: int) -> DataFram
     """near_lines for any bound, by verified candidates. Of edits + 1 segments of a line one is whole in each line within the bound
     that is no shorter, moved by few places: keys are a line's segments and, of a line as the longer one, what stands
     where a shorter one's segments can be. Nothing is missed; a key's lines are compared in pairs, so time grows with large groups."""
-    if near_chars <= edits:
-        raise ValueError("near_chars must be above edits: shorter lines have an empty segment")
     n_parts = edits + 1
     one = lines.where(f"n >= {near_chars}").groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
     one = C.written(one, "long_lines")
@@ -82,16 +80,16 @@ def near_lines_within(lines: DataFrame, edits: int, near_chars: int) -> DataFram
     return C.written(found.selectExpr("a", "b", "keep.k as keep_k", "keep.pos as keep_pos"), "near_lines")
 
 
-def near_lines(lines: DataFrame, *, near_chars: int = 24, most_broadcast: int = 500_000, edits: int = 1) -> DataFrame:
+def near_lines(lines: DataFrame, *, near_chars: int = 1, most_broadcast: int = 500_000, edits: int = 1) -> DataFrame:
     """a, b of every line that has a line within `edits` whose first place is earlier; keep_k, keep_pos: that of the earliest."""
     if edits < 1:
         raise ValueError("edits must be 1 or more")
     if edits > 1:
         return near_lines_within(lines, edits, near_chars)
     long = lines.where(f"n >= {near_chars}")
-    some = where_shared(long.select("k", "t", "pos", "line", "n", "a", "b", block_keys(QUARTER).alias("at")), most_broadcast)
+    some = where_shared(long.select("k", "t", "pos", "line", "n", "a", "b", block_keys(HALF).alias("at")), most_broadcast)
     some = some.groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
-    some = C.written(some, "quarter_partners")
+    some = C.written(some, "half_partners")
     held = C.written(where_shared(some.select("a", "b", "first", "line", "n", block_keys(SHORT).alias("at")), most_broadcast), "block_partners")
     # single deletions inside the block: place >= 0 for lines of one length, -1 for those a character apart
     mid = "substring(line, at.block * at.width + 1, at.width - if(at.longer, 0, 1))"
@@ -158,7 +156,7 @@ OP4_SQL = """
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
 x as (select doc_id, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from l),
 f as (select line, min(struct_pack(d := doc_id, p := pos)) as first, length(line) as n from x where line <> '' group by line),
-c as (select line, first, n, n as m, left(line, n // 2) as head, right(line, n // 2) as tail, (n // 2) as h from f where n >= 24),
+c as (select line, first, n, n as m, left(line, n // 2) as head, right(line, n // 2) as tail, (n // 2) as h from f),
 s as (select line, first, n, unnest([n // 2, (n + 1) // 2, (n - 1) // 2]) as h from c),
 keys as (select distinct line, first, n, h, unnest(['h' || left(line, h), 't' || right(line, h)]) as key from s),
 gone as (select distinct y.line from keys y join keys z on y.key = z.key and y.h = z.h and abs(y.n - z.n) <= 1 and z.first < y.first and y.line <> z.line

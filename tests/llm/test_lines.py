@@ -53,6 +53,14 @@ def test_against_brute_force(spark):
         assert L.clean(docs, near_chars=8).columns == docs.columns
 
 
+def test_short_lines_are_compared_too(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 9))) for _ in range(3))) for i in range(60)]
+    rows += [(60 + i, "a short line on" + c) for i, c in enumerate(["e", "f", "", "ee"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted([(str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in L.dedup(docs).collect()], key=str) == brute(rows, 1)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

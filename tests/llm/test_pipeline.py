@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     kept = through("language_id", rows)
     assert [r[0] for r in kept] == [r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])] and set(kept) <= set(rows)
     lined = through("line_dedup", kept)
-    want = {int(i): text for i, _, _, text in test_lines.brute([(r[0], r[1]) for r in kept], 24)}
+    want = {int(i): text for i, _, _, text in test_lines.brute([(r[0], r[1]) for r in kept], 1)}
     assert [(r[0], r[1], r[4]) for r in lined] == [(r[0], want[r[0]], len(want[r[0]])) for r in kept]
     single = through("near_dedup", lined)
     group = {r[0]: r[0] for r in lined}
