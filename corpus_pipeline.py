@@ -13,6 +13,8 @@ from strandlog.llm import bpe, common, langid, lines, simhash, winnowing
 
 MIN_SCORE = 0.4
 LINE_EDITS = 2
+#: Bits by which near-duplicates' fingerprints differ at most.
+RADIUS = 6
 #: Keys of 16 bytes that are broadcast at most, counted before.
 MOST_BROADCAST = 1_000_000
 
@@ -32,12 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, radius=RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of a benchmark item go."""
-    hit = winnowing.occurrences(docs, common.load(spark, sf_dir, "benchmark")).select(F.col("k").alias("__hit_k"), F.col("t").alias("__hit_t"))
+    hit = winnowing.occurrences(docs, common.load(spark, sf_dir, "benchmark")).select(F.col("k").alias("__hit_k"), F.col("t").alias("__hit_t")).distinct()
     hit = common.written(hit, "contaminated")
     hit = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
     keyed = docs.withColumns({"__hit_k": common.doc_key(), "__hit_t": F.xxhash64("text")})
@@ -58,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has read is deleted once its own table is written."""
+    docs, before = common.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        docs, read = common.written(stage(spark, docs, sf_dir), name), before
+        before = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
+        if read:
+            common.remove(read)
     return docs
