@@ -49,15 +49,36 @@ def in_step(entry: Column, start: Column, step: Column) -> Column:
     return (entry >= start) & ((entry - start) % F.greatest(step, F.lit(1)) == 0)
 
 
+#: 2^64, where numbers stop to fit eight bytes.
+_TOP = "18446744073709551616"
+
+
 def width(value: Column) -> Column:
-    """Bytes of the smallest unsigned integer that holds the value."""
-    return F.when(value < 1 << 8, 1).when(value < 1 << 16, 2).when(value < 1 << 32, 4).otherwise(8)
+    """Bytes of the smallest unsigned integer that holds the value, BIGINT or DECIMAL(38, 0)."""
+    wide = value.cast("decimal(38,0)")
+    return F.when(wide < 1 << 8, 1).when(wide < 1 << 16, 2).when(wide < 1 << 32, 4).when(wide < F.lit(_TOP).cast("decimal(38,0)"), 8).otherwise(16)
 
 
 def can_fit(value: Column, size: int) -> Column:
     return width(value) <= size
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by value, whatever the types of the two ids."""
+    x, y = a.cast("decimal(38,0)"), b.cast("decimal(38,0)")
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def wide_hex(value: Column) -> Column:
+    """32 hex digits of a BIGINT or DECIMAL(38, 0)."""
+    wide, top = value.cast("decimal(38,0)"), F.lit(_TOP).cast("decimal(38,0)")
+    # the remainder is exact; a quotient would be rounded
+    low = wide % top
+    high = (wide - low) / top
+    digits = lambda x: F.lpad(F.conv(x.cast("decimal(20,0)").cast("string"), 10, 16), 16, "0")
+    return F.concat(digits(high), digits(low))
+
+
 def is_width(size: Column) -> Column:
     return size.isin(*WIDTHS)
 
@@ -68,8 +89,8 @@ def narrowed(value: Column) -> Column:
 
 
 def to_little_endian(value: Column, size: int) -> Column:
-    """`size` bytes, least significant first."""
-    return _flipped(F.unhex(F.lpad(F.hex(value), 2 * size, "0")), size)
+    """`size` bytes, 1 to 16, least significant first."""
+    return _flipped(F.unhex(F.right(wide_hex(value), F.lit(2 * size))), size)
 
 
 def _flipped(raw: Column, size: int) -> Column:
@@ -77,14 +98,21 @@ def _flipped(raw: Column, size: int) -> Column:
 
 
 def from_little_endian(raw: Column, size: int) -> Column:
-    return F.conv(F.hex(_flipped(raw, size)), 16, 10).cast("bigint")
+    """The id as BIGINT; null if it doesn't fit."""
+    return narrowed(from_little_endian_wide(raw, size))
+
+
+def from_little_endian_wide(raw: Column, size: int) -> Column:
+    """The id as DECIMAL(38, 0); null if it has more digits."""
+    digits = F.lpad(F.hex(_flipped(raw, size)), 32, "0")
+    part = lambda at: F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(38,0)")
+    return F.try_add(F.try_multiply(part(1), F.lit(_TOP).cast("decimal(20,0)")).cast("decimal(38,0)"), part(17)).cast("decimal(38,0)")
 
 
 def wide_key(value: Column) -> Column:
     """A binary key whose byte order is the order of the ids: a length byte, then the bytes, most significant first."""
-    digits = F.hex(value.cast("bigint"))
-    even = F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
-    return F.unhex(F.concat(F.lpad(F.hex((F.length(even) / 2).cast("int")), 2, "0"), even))
+    digits = F.regexp_replace(wide_hex(value), "^(?:00){0,15}", "")
+    return F.unhex(F.concat(F.lpad(F.hex((F.length(digits) / 2).cast("int")), 2, "0"), digits))
 
 
 def file_path(file_id: Column, extension: str) -> Column:

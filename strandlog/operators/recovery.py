@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_target(segments: DataFrame) -> DataFrame:
-    """queue, next_file_id, next_entry_id. A latest file without valid entries is used again; a queue without any begins at file 1, id 0."""
+    """queue, next_file_id, next_entry_id. A latest file without valid entries is used again; a queue without any begins at file 1, id 0.
+
+    With a column tier, only files on local disk count: a remote copy is no place to write."""
+    if "tier" in segments.columns:
+        segments = segments.where("tier <> 'CLOUD'")
     full = F.col("num_entries") > 0
     ends = segments.groupBy("queue").agg(F.max("file_id").alias("latest"), F.max(F.when(full, F.col("file_id"))).alias("f"), F.max(F.when(full, F.col("last_id"))).alias("l"))
     next_file = F.when(F.col("f").isNull(), F.lit(1)).when(F.col("f") == F.col("latest"), F.col("latest") + 1).otherwise(F.col("latest"))

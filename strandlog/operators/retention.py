@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,11 @@ def latest_offloaded(remote: DataFrame) -> DataFrame:
     return remote.groupBy("queue").agg(F.max("file_id").alias("latest"))
 
 
+def limit_holds(max_bytes: Column, wal_bytes: int) -> Column:
+    """Whether a queue's limit holds three files."""
+    return max_bytes >= 3 * wal_bytes
+
+
 def check_limits(max_bytes: int, wal_bytes: int) -> None:
     """A queue's limit must hold three files."""
     if max_bytes < 3 * wal_bytes:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,27 +23,42 @@ def catalog(log: DataFrame, per_file: int) -> DataFrame:
     )
 
 
-def rotate(entries: DataFrame, max_bytes: int, header: int = FILE_HEADER, overhead: int = RECORD_OVERHEAD) -> DataFrame:
-    """queue, entry_id, file_id of entries (queue, entry_id, n): a file ends before the payload that would take it past max_bytes.
+def rotate(entries: DataFrame, max_bytes: int, header: int = FILE_HEADER, overhead: int = RECORD_OVERHEAD, id_width: int = 4) -> DataFrame:
+    """queue, entry_id, file_id of entries (queue, entry_id, n): a file ends before the payload that would take it past max_bytes,
+    and before an id that needs more bytes than the file's header gives ids. A null n is an empty payload.
 
     Each file's begin depends on the one before, so a queue is one ordered pass over its sizes. Only ids and sizes are dealt,
-    Spark sorts them, and the pass keeps one number: memory is the same for any length."""
+    Spark sorts them, and the pass steps from file to file by a search in running sums: memory is the same for any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue, file_id, size = None, 0, 0
+        queue, file_id, size, wide = (), 0, 0, 0
         for batch in batches:
-            files = []
-            for name, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if name != queue:
-                    queue, file_id, size = name, 1, header + overhead + n
-                elif size + n > max_bytes:
-                    file_id, size = file_id + 1, header + overhead + n
-                else:
-                    size += overhead + n
-                files.append(file_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files, pa.int64())], names=["queue", "entry_id", "file_id"])
-
-    return entries.select("queue", "entry_id", F.col("n").cast("bigint").alias("n")).repartition("queue").sortWithinPartitions("queue", "entry_id").mapInArrow(run, "queue string, entry_id long, file_id long")
+            names, ids = batch.column(0), np.asarray(batch.column(1))
+            coded = names.dictionary_encode()
+            code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+            n = np.asarray(batch.column(2)).astype(np.int64)
+            files = np.empty(len(n), np.int64)
+            for lo, hi in zip((cuts := np.flatnonzero(np.diff(code, prepend=-1))).tolist(), [*cuts[1:].tolist(), len(n)]):
+                if (names[lo].as_py(),) != queue:
+                    queue, file_id, size = (names[lo].as_py(),), 0, -1
+                ends = np.cumsum(n[lo:hi] + overhead)
+                widths = np.where(ids[lo:hi] < 1 << 8 * id_width, 0, 1)
+                at = 0
+                while at < hi - lo:
+                    before = int(ends[at - 1]) if at else 0
+                    room = max_bytes - (header if size < 0 else size) + before + overhead
+                    stop = int(np.searchsorted(ends, room, "right"))
+                    if size < 0 or stop <= at or widths[at] > wide:  # a new file takes its first entry whatever its size
+                        file_id, size, wide = file_id + 1, header, int(widths[at])
+                        stop = max(int(np.searchsorted(ends, max_bytes - header + before + overhead, "right")), at + 1)
+                    stop = min(stop, int(np.searchsorted(widths, wide, "right")))
+                    files[lo + at : lo + stop] = file_id
+                    size += int(ends[stop - 1]) - before
+                    at = stop
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files)], names=["queue", "entry_id", "file_id"])
+
+    sized = entries.select("queue", "entry_id", F.coalesce(F.col("n").cast("bigint"), F.lit(0)).alias("n"))
+    return sized.repartition("queue").sortWithinPartitions("queue", "entry_id").mapInArrow(run, "queue string, entry_id long, file_id long")
 
 
 def bounds(segments: DataFrame, *by: str) -> DataFrame:

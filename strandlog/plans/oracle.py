@@ -12,10 +12,6 @@ SEG = (
 )
 
 SQL = {
-    "batch_id_assign": (
-        f'with {LOG}, {SEG}, m as (select queue,max(entry_id) mx from log group by queue) select m.queue, m.mx + cast(row_number() over (partition by m.queue '
-        'order by b.c_custkey) as bigint) as entry_id, b.c_name as data from m cross join (select c_custkey,c_name from customer where c_custkey<=20) b'
-    ),
     "compaction_candidates": (
         f'with {LOG}, {SEG}, m as (select queue,max(file_id) cur from seg group by queue) select s.queue,s.file_id from seg s join m on s.queue=m.queue where '
         's.file_id<m.cur'
@@ -23,21 +19,9 @@ SQL = {
     "f_cloud_key": (
         "select distinct event_type, concat('fleet/', substr(concat('/inst0/',event_type),2), '/001/0a0.store') as k from events"
     ),
-    "f_in_step": (
-        'select l_orderkey as id, l_linenumber as step, (l_linenumber=1 or (l_orderkey>=100 and (l_orderkey-100)%l_linenumber=0)) as in_step_ref, '
-        '(l_orderkey>=100 and (l_orderkey-100)%l_linenumber=0) as in_step_ours from lineitem where l_orderkey<400'
-    ),
     "f_segment_path": (
         f"with {LOG}, {SEG} select queue,file_id,concat('/data/inst0/',queue,'/wal/',lpad(lower(hex(file_id)),3,'0'),'.wal') as path from seg"
     ),
-    "f_uint_arith": (
-        'select l_orderkey as a, l_partkey as b, l_orderkey+l_partkey as s, case when l_orderkey>=l_partkey then l_orderkey-l_partkey end as d, '
-        'l_orderkey%greatest(l_partkey,1) as r, cast(floor((l_orderkey+l_partkey)/2) as bigint) as mid from lineitem where l_orderkey<500'
-    ),
-    "f_uint_width": (
-        'select distinct l_orderkey*l_orderkey*97 as v, case when l_orderkey*l_orderkey*97<256 then 1 when l_orderkey*l_orderkey*97<65536 then 2 when '
-        'l_orderkey*l_orderkey*97<4294967296 then 4 else 8 end as size_bytes from lineitem where l_orderkey<15000'
-    ),
     "fanout": (
         f"with {LOG}, {SEG}, subs as (select * from (values (0,'click',cast(1990 as bigint),cast(1 as bigint)),(1,'click',cast(1980 as bigint),cast(3 as "
         "bigint)),(2,'view',cast(1900 as bigint),cast(7 as bigint))) v(sub_id,queue,from_id,step)) select s.sub_id,l.queue,l.entry_id,l.data from subs s join "
@@ -52,14 +36,6 @@ SQL = {
         'queue,file_id,src,row_number() over (partition by queue,file_id order by pri) rn from c) select e.queue,e.file_id,e.end_id,h.src as header_src from e '
         'join h on e.queue=h.queue and e.file_id=h.file_id where h.rn=1'
     ),
-    "file_lookup": (
-        f'with {LOG}, {SEG}, t as (select queue,entry_id from log where entry_id%97=0) select t.queue,t.entry_id,s.file_id from t join seg s on t.queue=s.queue '
-        'and t.entry_id between s.first_id and s.last_id'
-    ),
-    "file_path": (
-        f"with {LOG}, {SEG}, h as (select distinct file_id*397 as fid from seg) select fid, concat(substr(x,1,3),'/',substr(x,4,3),'.store') as path from "
-        "(select fid,lpad(lower(hex(fid)),6,'0') as x from h where fid>=4096) y"
-    ),
     "flush_ack_coalesce": (
         f"with {LOG}, {SEG} select queue,date_trunc('hour',ts) as flush,max(entry_id) as acked_id,count(*) as n from log group by queue,date_trunc('hour',ts)"
     ),
@@ -224,27 +200,97 @@ select queue, entry_id, file_id from g
         f"with {LOG}, t as (select least(max(entry_id),1899)+1 as s from log where queue='click') select queue, entry_id, data from log, t where queue='click' "
         "and entry_id>=t.s and (entry_id-t.s)%2=0"
     ),
-    "f_in_step_all": (
+    "f_in_step": (
         'select l_orderkey as id, l_linenumber as step, (l_linenumber=1 or (l_orderkey>=100 and (l_orderkey-100)%l_linenumber=0)) as in_step_ref, '
         '(l_orderkey>=100 and (l_orderkey-100)%l_linenumber=0) as in_step_ours from lineitem'
     ),
-    "f_uint_arith_all": (
+    "f_uint_arith": (
         'select l_orderkey as a, l_partkey as b, l_orderkey+l_partkey as s, case when l_orderkey>=l_partkey then l_orderkey-l_partkey end as d, '
         'l_orderkey%greatest(l_partkey,1) as r, cast(floor((l_orderkey+l_partkey)/2) as bigint) as mid from lineitem'
     ),
-    "f_uint_width_all": (
+    "f_uint_width": (
         'select distinct l_orderkey*l_orderkey*97 as v, case when l_orderkey*l_orderkey*97<256 then 1 when l_orderkey*l_orderkey*97<65536 then 2 when '
         'l_orderkey*l_orderkey*97<4294967296 then 4 else 8 end as size_bytes from lineitem'
     ),
-    "file_lookup_all": (
+    "file_lookup": (
         f'with {LOG}, {SEG} select l.queue,l.entry_id,s.file_id from log l join seg s on l.queue=s.queue and l.entry_id between s.first_id and s.last_id'
     ),
-    "batch_id_assign_all": (
+    "batch_id_assign": (
         f'with {LOG}, m as (select queue,max(entry_id) mx from log group by queue) select m.queue, m.mx + cast(row_number() over (partition by m.queue '
         'order by b.c_custkey) as bigint) as entry_id, b.c_name as data from m cross join customer b'
     ),
-    "file_path_all": (
+    "file_path": (
         f"with {LOG}, {SEG}, h as (select distinct file_id*397 as fid from seg) select fid, case when fid<4096 then concat(substr(x,4,3),'.store') else "
         "concat(substr(x,1,3),'/',substr(x,4,3),'.store') end as path from (select fid,lpad(lower(hex(fid)),6,'0') as x from h) y"
     ),
+    "multi_read_defaults": (
+        f"with {LOG}, n as (select queue,max(entry_id) l from log group by queue), r as (select * from (values (1,'click',0,2,1),(2,'view',4,9,5),(3,'view',6,8,1)) v(read_id,queue,s,e,st) "
+        "union all select 4,queue,l,l,1 from n where queue='signup' union all select 5,queue,7,l,100 from n where queue='click') "
+        "select cast(r.read_id as integer) as read_id,l.queue,l.entry_id,l.data from r join log l on r.queue=l.queue and l.entry_id between r.s and r.e and (l.entry_id-r.s)%r.st=0"
+    ),
+    "read_results": (
+        "select o_orderkey as read_id, case when o_orderkey%4=3 or o_custkey<20 then 'RR_SERVER_ERROR' when o_orderkey%4<2 then 'RR_END' else 'RR_QUEUE_NOT_FOUND' end as result from orders"
+    ),
+    "queue_status": (
+        f"with {LOG}, r(queue) as (select * from (values ('click'),('fresh'),('nosuch')) v(queue)) select r.queue, max(l.entry_id) as last_id, case when count(l.entry_id)>0 then 'OK' "
+        "when r.queue='fresh' then 'QUEUE_EMPTY' else 'QUEUE_NOT_FOUND' end as status from r left join log l on r.queue=l.queue group by r.queue"
+    ),
+    "wire_write": (
+        f"with {LOG}, w as (select o_orderkey as write_id, case when o_orderkey%7=0 then null when o_orderkey%2=0 then 'click' else 'fresh' end as queue, "
+        "case when o_orderkey%11=0 then 0 else count(*) end as n from orders join lineitem on o_orderkey=l_orderkey group by o_orderkey), "
+        "b as (select *, coalesce(sum(n) over (partition by queue order by write_id rows between unbounded preceding and 1 preceding),0) as before from w), "
+        "m as (select queue,max(entry_id)+1 as next from log group by queue), p as (select b.*, coalesce(m.next,0)+before as first from b left join m on b.queue=m.queue) "
+        "select write_id, case when queue is null then 'WR_SERVER_ERROR' else 'WR_DONE' end as result, cast(case when queue is not null and n>0 then first end as bigint) as first_id, "
+        "cast(case when queue is not null and n>0 then first+n-1 end as bigint) as last_id from p"
+    ),
+    "queue_modes": (
+        "select event_type as queue, case when bool_or(event_type<'p' and event_id%3=0) then 'write' else 'read' end as mode, bool_or(event_type<'p' and event_id%3=0) as admitted from events group by event_type"
+    ),
+    "latency_nearest_rank_n1": (
+        'with x as (select event_type,value,cast(row_number() over (partition by event_type order by value) as bigint)-1 as i,count(*) over (partition by '
+        'event_type) as n from events) select event_type, max(case when i=(n-1)*50//100 then value end) as p50, max(case when i=(n-1)*95//100 then value '
+        'end) as p95, max(case when i=(n-1)*99//100 then value end) as p99 from x group by event_type'
+    ),
+    "f_uint_wide": (
+        "with w as (select cast(o_orderkey as hugeint)*123456789012345678901::hugeint as v from orders), d as (select v, lpad(lower(hex(cast(v//18446744073709551616::hugeint as ubigint))),16,'0') || "
+        "lpad(lower(hex(cast(v%18446744073709551616::hugeint as ubigint))),16,'0') as x from w) "
+        "select cast(v as varchar) as v, case when v=0 then 1 else 16 end as size_bytes, array_to_string(list_reverse(regexp_extract_all(x,'..')),'') as le, cast(v as varchar) as back, case when v=0 then cast(0 as bigint) end as narrow from d"
+    ),
+    "f_uint_more": (
+        "with r as (select l_orderkey as a, l_partkey as b, l_linenumber as n from lineitem) select a, b, n, a+1 as up, case when a>0 then a-1 end as down, cast(sign(a-b) as integer) as sign, "
+        "case when n=1 or a=0 then a end as narrow, n in (1,2,4,8,16) as is_width, a<256 as one_byte, a<b as key_less from r"
+    ),
+    "latest_offloaded": (
+        f"with {LOG}, {SEG} select queue, max(file_id) as latest from seg where file_id<=10 or file_id%7=0 group by queue"
+    ),
+    "limit_holds": (
+        f"with {LOG}, {SEG} select queue, sum(bytes)>=60000 as holds from seg group by queue"
+    ),
+    "wal_scan": (
+        f"with {LOG}, {SEG} select l.queue, cast(floor(entry_id/64) as bigint)+1 as file_id, entry_id, data from log l where entry_id between 100 and 1500 and (entry_id-100)%7=0"
+    ),
+    "wal_probe": (
+        f"with {LOG}, {SEG}, c as (select *, case when file_id%7=0 then 0 when file_id%5=0 then num_entries-1 else num_entries end as k from seg) "
+        "select queue, file_id, case when file_id%7=0 then 'EMPTY' else 'OK' end as status, case when file_id%7<>0 then first_id end as before, case when k>0 then first_id end as first_id, "
+        "case when k>0 then first_id+k-1 end as last_id, k as num_entries from c"
+    ),
+    "wal_header": (
+        f"with {LOG}, {SEG} select queue, file_id, 'OK' as status, cast(8 as bigint) as data_width, cast(4 as bigint) as id_width, first_id as before from seg union all "
+        "select queue, max(file_id)+1, 'NOT_FOUND', null, null, null from seg group by queue"
+    ),
+    "store_probe": (
+        f"with {LOG}, {SEG} select queue, file_id, 'OK' as status, first_id, last_id, num_entries, first_id as before, cast(4 as bigint) as id_width from seg"
+    ),
+    "store_problems": (
+        f"with {LOG}, {SEG} select queue, file_id from seg where file_id%5=0"
+    ),
+    "wal_to_store": (
+        f"with {LOG}, {SEG}, m as (select queue, max(file_id) as cur from seg group by queue) select l.queue, s.file_id, l.entry_id, l.data, case when s.file_id<m.cur then 'DISK_STORE' else 'DISK_WAL' end as source "
+        "from log l join seg s on l.queue=s.queue and l.entry_id between s.first_id and s.last_id join m on m.queue=s.queue"
+    ),
+    "retention_apply": (
+        f"with {LOG}, {SEG}, f as (select queue, file_id, bytes+32+case when first_id<256 then 1 when first_id<65536 then 2 else 4 end as bytes from seg where queue<>'signup'), "
+        "c as (select *, coalesce(sum(bytes) over (partition by queue order by file_id rows between unbounded preceding and 1 preceding),0) as freed, sum(bytes) over (partition by queue) as total from f) "
+        "select queue, file_id, cast(bytes as bigint) as bytes from c where freed>=total-40000"
+    ),
 }

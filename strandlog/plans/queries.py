@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +10,8 @@ from strandlog.functions import queues as Q
 from strandlog.operators import append, read, recovery, retention, segments, tiers
 from strandlog.operators.numbering import nearest_rank
 from strandlog.operators.read import SHIFT_FROM_TAIL, ReadSpec
-from strandlog.sources import files
-from strandlog.sources.log import from_events, from_table, table, write_log
+from strandlog.sources import files, shared, store
+from strandlog.sources.log import events_catalog, from_events, from_table, table, write_log
 from strandlog.streaming import follow as streams
 
 SEED = bytes(range(32))
@@ -30,7 +27,7 @@ def _entries(rows: DataFrame) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.catalog(_log(spark, sf_dir), PER_FILE)
+    return events_catalog(spark, sf_dir, PER_FILE)
 
 
 def _read(spec: ReadSpec):
@@ -38,7 +35,7 @@ def _read(spec: ReadSpec):
 
 
 def _tails(shift: int, limit: int, step: int = 1):
-    return lambda spark, sf_dir: _entries(read.read_tails(_log(spark, sf_dir), shift, limit, step))
+    return lambda spark, sf_dir: _entries(read.read_tails(_log(spark, sf_dir), shift, limit, step, _segments(spark, sf_dir)))
 
 
 def read_before_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +45,8 @@ def read_before_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_cross_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    recent = log.join(read.last_ids(log), "queue").where("entry_id > last_id - 50")
+    last = read.last_ids(log, _segments(spark, sf_dir)).select("queue", F.expr("last_id - 49").alias("_start"), F.col("last_id").alias("_end"), F.lit(1).alias("_step"))
+    recent = read.in_ranges(log, last)
     held = {"CLOUD": log.where("entry_id < 800"), "DISK_STORE": log.where("entry_id between 640 and 1599"), "DISK_WAL": log.where("entry_id >= 1536"), "MEMORY": recent}
     return read.read(tiers.stitched(held), ReadSpec("view", 600, 1400))
 
@@ -57,11 +55,30 @@ def multi_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = spark.createDataFrame(
         [(1, "click", "ABSOLUTE", 10, 5, 0), (2, "view", "SHIFT_FROM_TAIL", 9, 4, 3), (3, "nosuch", "ABSOLUTE", 0, 5, 1)], "read_id int, queue string, pos_type string, offset long, limit long, step long"
     )
-    return read.read_many(_log(spark, sf_dir), reads).select("read_id", "queue", "entry_id", "data")
+    return read.read_many(_log(spark, sf_dir), reads, _segments(spark, sf_dir)).select("read_id", "queue", "entry_id", "data")
+
+
+def multi_read_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No offset, no step, no limit, an unknown type, no type."""
+    reads = spark.createDataFrame([(1, "click", "ABSOLUTE", None, 3, None), (2, "view", "OTHER", 4, 2, 5), (3, "view", None, 6, 3, 0), (4, "signup", "SHIFT_FROM_TAIL", None, 9, 1), (5, "click", "ABSOLUTE", 7, None, 100)], "read_id int, queue string, pos_type string, offset long, limit long, step long")
+    return read.read_many(_log(spark, sf_dir), reads, _segments(spark, sf_dir)).select("read_id", "queue", "entry_id", "data")
+
+
+def read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read for every order: of queues that exist and others, some with numbers that can't be asked."""
+    reads = table(spark, sf_dir, "orders").selectExpr("o_orderkey as read_id", "case o_orderkey % 4 when 0 then 'click' when 1 then 'view' when 2 then 'nosuch' end as queue", "'ABSOLUTE' as pos_type", "o_custkey - 20 as offset", "10 as limit", "o_orderkey % 3 as step")
+    return read.read_results(reads, _segments(spark, sf_dir))
 
 
 def last_id_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read.last_id_status(_log(spark, sf_dir), spark.createDataFrame([("click",), ("view",), ("nosuch",)], "queue string"))
+    return read.last_id_status(_log(spark, sf_dir), spark.createDataFrame([("click",), ("view",), ("nosuch",)], "queue string"), _segments(spark, sf_dir))
+
+
+def queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a list of queues that exist, one of them without entries."""
+    seg = _segments(spark, sf_dir)
+    known = seg.select("queue").union(spark.createDataFrame([("fresh",)], "queue string"))
+    return read.last_id_status(_log(spark, sf_dir), spark.createDataFrame([("click",), ("fresh",), ("nosuch",)], "queue string"), seg, known)
 
 
 def read_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,21 +87,33 @@ def read_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = spark.createDataFrame([(0, "click", 1990, 1), (1, "click", 1980, 3), (2, "view", 1900, 7)], "sub_id int, queue string, from_id long, step long")
-    return read.fan_out(_log(spark, sf_dir), subs).select("sub_id", "queue", "entry_id", "data")
+    return read.fan_out(_log(spark, sf_dir), subs, _segments(spark, sf_dir)).select("sub_id", "queue", "entry_id", "data")
 
 
 def batch_id_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = read.last_ids(_log(spark, sf_dir))
-    batch = table(spark, sf_dir, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("data"))
-    sent = batch.crossJoin(F.broadcast(last.select("queue")))  # one batch of 20 to each queue, a row per queue
+    """All customers as one batch to each queue."""
+    last = read.last_ids(_log(spark, sf_dir), _segments(spark, sf_dir))
+    names = [r["queue"] for r in last.select("queue").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("the same batch to over 1000 queues")
+    sent = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("data"), F.explode(F.array(*map(F.lit, names))).alias("queue"))
     return append.assign_ids(sent, last).select("queue", "entry_id", "data")
 
 
-def batch_id_assign_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = read.last_ids(_log(spark, sf_dir))
-    batch = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("data"))
-    sent = batch.crossJoin(F.broadcast(last.select("queue")))  # the whole table to each queue, a row per queue
-    return append.assign_ids(sent, last).select("queue", "entry_id", "data")
+def wire_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write for every order, its packets the order's items; some without packets, some without a queue."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_linenumber").alias("packets"))
+    queue = F.expr("case when o_orderkey % 7 = 0 then null when o_orderkey % 2 = 0 then 'click' else 'fresh' end")
+    packets = F.when(F.col("o_orderkey") % 11 == 0, F.array().cast("array<int>")).otherwise(F.col("packets").cast("array<int>"))
+    writes = table(spark, sf_dir, "orders").join(items, "o_orderkey").select(F.col("o_orderkey").alias("write_id"), queue.alias("queue"), packets.alias("packets"))
+    return append.write_results(writes, read.last_ids(_log(spark, sf_dir), _segments(spark, sf_dir)))
+
+
+def queue_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event opens its queue, one event type in two for writing too; a write to each queue is then admitted or not."""
+    opened = table(spark, sf_dir, "events").selectExpr("event_type as queue", "if(event_type < 'p' and event_id % 3 = 0, 'write', 'read') as mode")
+    states = store.modes(opened)
+    return store.admitted(states, states)
 
 
 def ordered_release(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +125,21 @@ def flush_ack_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return append.notify(_log(spark, sf_dir), 1500, 100)
+    """A subscription to the log: its callback writes what it is told of each micro-batch."""
+    work, log = shared.work_dir(spark), _entries(_log(spark, sf_dir))
+    write_log(log, f"{work}/log", 4)
+
+    def told(batch: DataFrame, number: int) -> bool:
+        append.notify(batch, 1500, 100).write.mode("overwrite").parquet(f"{work}/told/{number}")
+        return True
+
+    streams.subscribe(streams.stream_log(spark, f"{work}/log", log.schema, 2), told, f"{work}/cursor").awaitTermination()
+    got = spark.read.schema("queue string, batch bigint, n bigint, last_sent bigint").parquet(f"{work}/told/*")
+    return got.groupBy("queue", "batch").agg(F.sum("n").alias("n"), F.max("last_sent").alias("last_sent"))
 
 
 def mem_evict_acked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return append.evict_acked(_log(spark, sf_dir), 1900, 17700).select("queue", "entry_id")
+    return append.evict_acked(_log(spark, sf_dir), 1900, 17700, _segments(spark, sf_dir)).select("queue", "entry_id")
 
 
 def mem_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +151,10 @@ def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", [50, 95, 99])
 
 
+def latency_nearest_rank_n1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", [50, 95, 99], "floor of (n - 1) p")
+
+
 def queue_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "events").select("event_type").distinct()
     return names.withColumn("queue_path", Q.resolve(F.col("event_type"), "inst0"))
@@ -134,11 +177,6 @@ def f_cloud_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _segments(spark, sf_dir).select((F.col("file_id") * 397).alias("fid")).distinct().where("fid >= 4096")
-    return wide.select("fid", I.file_path(F.col("fid"), ".store").alias("path"))
-
-
-def file_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = _segments(spark, sf_dir).select((F.col("file_id") * 397).alias("fid")).distinct()
     return ids.select("fid", I.file_path(F.col("fid"), ".store").alias("path"))
 
@@ -154,53 +192,39 @@ def f_uint_le(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", F.lower(F.hex(raw)).alias("le"), I.from_little_endian(raw, 8).alias("back"))
 
 
-def _in_step(rows: DataFrame) -> DataFrame:
-    rows = rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step"))
-    ours = I.in_step(F.col("id"), F.lit(100), F.col("step"))
-    return rows.select("id", "step", ((F.col("step") == 1) | ours).alias("in_step_ref"), ours.alias("in_step_ours"))
+def f_uint_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids beyond 2^64 in 16 bytes: width, least significant byte first, and back."""
+    wide = table(spark, sf_dir, "orders").select((F.col("o_orderkey").cast("decimal(38,0)") * F.lit("123456789012345678901").cast("decimal(21,0)")).cast("decimal(38,0)").alias("v"))
+    raw = I.to_little_endian(F.col("v"), 16)
+    return wide.select(F.col("v").cast("string").alias("v"), I.width(F.col("v")).alias("size_bytes"), F.lower(F.hex(raw)).alias("le"), I.from_little_endian_wide(raw, 16).cast("string").alias("back"), I.from_little_endian(raw, 16).alias("narrow"))
 
 
 def f_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_step(table(spark, sf_dir, "lineitem").where("l_orderkey < 400"))
-
-
-def f_in_step_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_step(table(spark, sf_dir, "lineitem"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step"))
+    ours = I.in_step(F.col("id"), F.lit(100), F.col("step"))
+    return rows.select("id", "step", ((F.col("step") == 1) | ours).alias("in_step_ref"), ours.alias("in_step_ours"))
 
 
-def _uint_arith(rows: DataFrame) -> DataFrame:
-    rows = rows.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
+def f_uint_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select("a", "b", I.add(a, b).alias("s"), I.subtract(a, b).alias("d"), I.remainder(a, F.greatest(b, F.lit(1))).alias("r"), I.middle(a, b).alias("mid"))
 
 
-def f_uint_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _uint_arith(table(spark, sf_dir, "lineitem").where("l_orderkey < 500"))
-
-
-def f_uint_arith_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _uint_arith(table(spark, sf_dir, "lineitem"))
-
-
-def _uint_width(rows: DataFrame) -> DataFrame:
-    value = (F.col("l_orderkey") * F.col("l_orderkey") * 97).alias("v")
-    return rows.select(value).distinct().withColumn("size_bytes", I.width(F.col("v")))
+def f_uint_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_linenumber").alias("n"))
+    a, b, wide = F.col("a"), F.col("b"), F.col("b").cast("decimal(38,0)")
+    big = F.when(F.col("n") == 1, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("0000000000000000000")))
+    return rows.select("a", "b", "n", I.increment(a).alias("up"), I.decrement(a).alias("down"), I.compare(a, wide).alias("sign"), I.narrowed(big).alias("narrow"), I.is_width(F.col("n")).alias("is_width"), I.can_fit(a, 1).alias("one_byte"), (I.wide_key(a) < I.wide_key(wide)).alias("key_less"))
 
 
 def f_uint_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _uint_width(table(spark, sf_dir, "lineitem").where("l_orderkey < 15000"))
-
-
-def f_uint_width_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _uint_width(table(spark, sf_dir, "lineitem"))
+    value = (F.col("l_orderkey") * F.col("l_orderkey") * 97).alias("v")
+    return table(spark, sf_dir, "lineitem").select(value).distinct().withColumn("size_bytes", I.width(F.col("v")))
 
 
 def file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _log(spark, sf_dir).where("entry_id % 97 = 0").select("queue", "entry_id")
-    return segments.lookup(asked, _segments(spark, sf_dir))
-
-
-def file_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of every entry of the log."""
     return segments.lookup(_log(spark, sf_dir).select("queue", "entry_id"), _segments(spark, sf_dir))
 
 
@@ -250,14 +274,17 @@ def offload_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.pending_uploads(seg, remote)
 
 
-def _work(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandlog-')}"
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+def latest_offloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.latest_offloaded(_segments(spark, sf_dir).where("file_id <= 10 or file_id % 7 = 0"))
+
+
+def limit_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = retention.queue_sizes(_segments(spark, sf_dir), 0)
+    return size.select("queue", retention.limit_holds(F.col("bytes"), 20000).alias("holds"))
 
 
 def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.compact(_entries(_log(spark, sf_dir)), f"{_work(spark)}/compact")
+    return segments.compact(_entries(_log(spark, sf_dir)), f"{shared.work_dir(spark)}/compact")
 
 
 def decode_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,21 +302,84 @@ def corrupt_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.decode_wal_files(cut).select("queue", "file_id", "entry_id", F.col("data").cast("string").alias("data"))
 
 
+def _wal_store(spark: SparkSession, sf_dir: str, per_file: int) -> str:
+    """A store's folder with the log in WAL files."""
+    root = shared.work_dir(spark)
+    named = _log(spark, sf_dir).withColumn("queue", F.concat(F.lit("/"), "queue"))
+    files.write_files(files.encode_wal_files(named, per_file).select("queue", "file_id", "content"), root, "wal").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("queue", F.expr("substring(queue, 2)"))
+
+
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log partitioned by queue and file, listed by Spark's binary source from its folders."""
-    path = f"{_work(spark)}/listed"
-    log = _log(spark, sf_dir).select("queue", "entry_id", F.expr("lpad(lower(hex(entry_id div 1024 + 1)), 3, '0')").alias("file"))
-    log.repartition("queue", "file").write.partitionBy("queue", "file").parquet(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
-    name = F.regexp_extract("path", "/queue=([^/]+)/file=([^/]+)/", 2)
-    return found.select(F.regexp_extract("path", "/queue=([^/]+)/", 1).alias("queue"), I.path_to_id(name).alias("file_id")).distinct()
+    return _plain(files.list_files(spark, _wal_store(spark, sf_dir, 1024), "wal")).select("queue", "file_id")
+
+
+def wal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of ids with a stride, out of WAL files."""
+    wal = files.read_files(spark, _wal_store(spark, sf_dir, PER_FILE), "wal")
+    return _plain(files.decode_wal_files(wal, 100, 1500, 7)).select("queue", "file_id", "entry_id", F.col("data").cast("string").alias("data"))
+
+
+def wal_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and range of every WAL file; those whose id divides by 5 have lost their last byte, those by 7 their content."""
+    wal = files.read_files(spark, _wal_store(spark, sf_dir, PER_FILE), "wal")
+    cut = F.expr("case when file_id % 7 = 0 then cast('' as binary) when file_id % 5 = 0 then substring(content, 1, length(content) - 1) else content end")
+    return _plain(files.wal_ranges(wal.withColumn("content", cut)))
+
+
+def wal_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers from the first bytes of files, asked for all files of the catalog and one more of each queue."""
+    root, seg = _wal_store(spark, sf_dir, PER_FILE), _segments(spark, sf_dir)
+    asked = seg.select("queue", "file_id").union(seg.groupBy("queue").agg(F.max("file_id") + 1)).withColumn("queue", F.concat(F.lit("/"), "queue"))
+    there = files.read_heads(asked, root, "wal", 128).where("content is not null")
+    return _plain(files.wal_headers(there, asked))
+
+
+def store_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges from the first bytes of sealed store files, and the WAL header inside each."""
+    root = shared.work_dir(spark)
+    named = _log(spark, sf_dir).withColumn("queue", F.concat(F.lit("/"), "queue"))
+    made = shared.written(files.write_files(files.to_store(files.encode_wal_files(named, PER_FILE), SEED), root, "store"), "made")
+    ranges = files.store_ranges(files.read_heads(made, root, "store"))
+    inside = files.wal_headers(files.from_store(files.read_files(spark, root, "store"), SEED)).select("queue", "file_id", "before", "id_width")
+    return _plain(ranges.join(inside, ["queue", "file_id"]))
+
+
+def store_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed files, one in five with a changed last byte: which are left out."""
+    stored = files.to_store(files.encode_wal_files(_log(spark, sf_dir), PER_FILE), SEED)
+    last = F.expr("unhex(lpad(hex((conv(hex(substring(content, length(content), 1)), 16, 10) + 1) % 256), 2, '0'))")
+    bad = stored.withColumn("content", F.when(F.col("file_id") % 5 == 0, F.concat(F.expr("substring(content, 1, length(content) - 1)"), last)).otherwise(F.col("content")))
+    return files.store_problems(shared.written(bad, "damaged"), SEED)
+
+
+def wal_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAL files compacted into store files, twice; then all is read back, from what tier."""
+    root = _wal_store(spark, sf_dir, PER_FILE)
+    store.compact_wal(spark, root, SEED)
+    store.compact_wal(spark, root, SEED)
+    sealed = files.decode_wal_files(files.from_store(files.read_files(spark, root, "store"), SEED)).withColumn("source", F.lit("DISK_STORE"))
+    live = files.decode_wal_files(files.read_files(spark, root, "wal")).withColumn("source", F.lit("DISK_WAL"))
+    return _plain(sealed.union(live)).select("queue", "file_id", "entry_id", F.col("data").cast("string").alias("data"), "source")
+
+
+def retention_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left on disk after retention; one queue is truncated before."""
+    root = _wal_store(spark, sf_dir, PER_FILE)
+    store.truncate(spark, root, "/signup")
+    store.retain(spark, root, 40000)
+    return _plain(store.sizes(spark, root))
 
 
 def _followed(spec: ReadSpec | None, queue: str = "click", cut: int = 1900, step: int = 1):
     """Half of the log is there when the follow begins, the rest is appended; the stream runs until it has all."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        work, log = _work(spark), _entries(_log(spark, sf_dir)).where(F.col("queue") == queue)
+        work, log = shared.work_dir(spark), _entries(_log(spark, sf_dir)).where(F.col("queue") == queue)
         write_log(log.where(F.col("entry_id") < cut), f"{work}/log", 2)
         last = read.last_id(spark.read.schema(log.schema).parquet(f"{work}/log"), queue)
         stream = streams.stream_log(spark, f"{work}/log", log.schema)
@@ -322,8 +412,10 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        read_before_first, read_cross_tier, multi_read, last_id_status, read_frames, fanout, batch_id_assign, batch_id_assign_all, ordered_release, flush_ack_coalesce, subscribe, mem_evict_acked, mem_budget,
-        latency_nearest_rank, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path, file_path_all, f_path_to_id, f_uint_le, f_in_step, f_in_step_all, f_uint_arith, f_uint_arith_all, f_uint_width, f_uint_width_all, file_lookup, file_lookup_all,
-        tier_fallback, tier_bounds, file_end, nearest_nonempty, queue_start, segment_assign, valid_prefix, retention_victims, offload_pending, compact, decode_store, corrupt_skip, list_files,
+        read_before_first, read_cross_tier, multi_read, multi_read_defaults, read_results, last_id_status, queue_status, read_frames, fanout, batch_id_assign, wire_write, queue_modes, ordered_release,
+        flush_ack_coalesce, subscribe, mem_evict_acked, mem_budget, latency_nearest_rank, latency_nearest_rank_n1, queue_resolve, queue_config_first_match, f_segment_path, f_cloud_key, file_path,
+        f_path_to_id, f_uint_le, f_uint_wide, f_in_step, f_uint_arith, f_uint_more, f_uint_width, file_lookup, tier_fallback, tier_bounds, file_end, nearest_nonempty, queue_start, segment_assign,
+        valid_prefix, retention_victims, offload_pending, latest_offloaded, limit_holds, compact, decode_store, corrupt_skip, list_files, wal_scan, wal_probe, wal_header, store_probe, store_problems,
+        wal_to_store, retention_apply,
     )
 }

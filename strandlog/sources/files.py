@@ -5,10 +5,13 @@ segment is bounded by its file size, so one file is one row of work."""
 
 from __future__ import annotations
 
+import lzma
+import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,14 +56,19 @@ def to_store(wal: DataFrame, seed: bytes, compression: int = codec.ZSTD, encrypt
     return packed.select(*names).mapInArrow(lambda it: _binary(it, finish, ["queue", "file_id", "content"]), FILE)
 
 
-def from_store(files: DataFrame, seed: bytes, verify: bool = False, skip_corrupt: bool = True) -> DataFrame:
-    """The WAL files in store files. A file that can't be opened, or fails verification, is left out; or is an error."""
+#: What a damaged file can raise; anything else, such as a missing module, is an error of ours.
+DAMAGE = (ValueError, struct.error, EOFError, lzma.LZMAError, zstandard.ZstdError)
+
+
+def from_store(files: DataFrame, seed: bytes, verify: bool = True, skip_corrupt: bool = True) -> DataFrame:
+    """The WAL files in store files. A file that is damaged, or fails verification, is left out (see store_problems); or is an error.
+    verify=False is for files of the local disk only: what comes from a remote tier must be verified."""
     public = crypto.public_key(seed) if verify else None
 
     def unseal(x: dict) -> dict | None:
         try:
             file = codec.open_store(x["content"], public)
-        except Exception:
+        except DAMAGE:
             if skip_corrupt:
                 return None
             raise
@@ -70,7 +78,7 @@ def from_store(files: DataFrame, seed: bytes, verify: bool = False, skip_corrupt
     def expand(x: dict) -> dict | None:
         try:
             return {"queue": x["queue"], "file_id": x["file_id"], "content": codec.decompress(x["content"], x["entries"])}
-        except Exception:
+        except DAMAGE:
             if skip_corrupt:
                 return None
             raise
@@ -81,21 +89,136 @@ def from_store(files: DataFrame, seed: bytes, verify: bool = False, skip_corrupt
     return plain.select("queue", "file_id", "content", "entries").mapInArrow(lambda it: _binary(it, expand, ["queue", "file_id", "content"]), FILE)
 
 
+def store_problems(files: DataFrame, seed: bytes, verify: bool = True) -> DataFrame:
+    """queue, file_id of the store files that from_store leaves out."""
+    return files.select("queue", "file_id").join(from_store(files, seed, verify).select("queue", "file_id"), ["queue", "file_id"], "left_anti")
+
+
 def decode_wal_files(wal: DataFrame, first: int = 0, last: int | None = None, step: int = 1) -> DataFrame:
-    """queue, file_id, entry_id, data (binary) of each file's sound prefix."""
+    """queue, file_id, entry_id, data (binary) of each file's sound prefix. Columns are built from slices of the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("entry_id", pa.int64()), ("data", pa.binary())])
         for batch in batches:
-            for x in batch.to_pylist():
-                rows = [{"queue": x["queue"], "file_id": x["file_id"], "entry_id": i, "data": d} for i, d in codec.decode_wal(x["content"], first, last, step)]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            ids, data, owner, size = [], [], [], 0
+            for row, content in enumerate(batch.column(2)):
+                for entry_id, payload in codec.decode_wal(content.as_buffer().to_pybytes() if content.is_valid else b"", first, last, step):
+                    ids.append(entry_id)
+                    data.append(payload)
+                    owner.append(row)
+                    size += len(payload)
+                    if size > 32_000_000:
+                        yield rows(batch, owner, ids, data)
+                        ids, data, owner, size = [], [], [], 0
+            yield rows(batch, owner, ids, data)
+
+    def rows(batch: pa.RecordBatch, owner: list[int], ids: list[int], data: list[bytes]) -> pa.RecordBatch:
+        at = pa.array(owner, pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["queue", "file_id", "entry_id", "data"])
 
     return wal.select("queue", "file_id", "content").mapInArrow(run, "queue string, file_id long, entry_id long, data binary")
 
 
+def _probed(files: DataFrame, make, schema: str) -> DataFrame:
+    kinds = {"queue": pa.string(), "status": pa.string()}
+    names = [x.split()[0] for x in schema.split(", ")]
+    arrow = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
+    return files.select("queue", "file_id", "content").mapInArrow(lambda it: (pa.RecordBatch.from_pylist([{"queue": x["queue"], "file_id": x["file_id"]} | make(x["content"] or b"") for x in b.to_pylist()], schema=arrow) for b in it), schema)
+
+
+def _header(raw: bytes) -> tuple[str, codec.WalHeader | None]:
+    if not raw:
+        return "EMPTY", None
+    try:
+        return "OK", codec.WalHeader.decode(raw)[0]
+    except DAMAGE:
+        return "BAD", None
+
+
+def wal_headers(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """queue, file_id, status, data_width, id_width, before of WAL files, or of the first bytes of them. Status: OK, EMPTY (no
+    bytes), BAD, or, for asked (queue, file_id) that aren't there, NOT_FOUND. Also for what from_store gives."""
+
+    def make(raw: bytes) -> dict:
+        status, header = _header(raw)
+        return {"status": status} | ({"data_width": header.data_width, "id_width": header.id_width, "before": header.before} if header else {})
+
+    found = _probed(files, make, "queue string, file_id long, status string, data_width long, id_width long, before long")
+    return found if asked is None else asked.join(found, ["queue", "file_id"], "left").fillna({"status": "NOT_FOUND"})
+
+
+def wal_ranges(files: DataFrame) -> DataFrame:
+    """queue, file_id, status, before, first_id, last_id, num_entries of the sound prefix of WAL files."""
+
+    def make(raw: bytes) -> dict:
+        status, header = _header(raw)
+        first = last = None
+        n = 0
+        for entry_id, _ in codec.decode_wal(raw):
+            first, last, n = entry_id if first is None else first, entry_id, n + 1
+        return {"status": status, "before": header and header.before, "first_id": first, "last_id": last, "num_entries": n}
+
+    return _probed(files, make, "queue string, file_id long, status string, before long, first_id long, last_id long, num_entries long")
+
+
+#: Bytes of a store file that hold its authentication and header.
+HEAD = 256
+
+
+def store_ranges(heads: DataFrame) -> DataFrame:
+    """queue, file_id, status, first_id, last_id, num_entries of store files, from their first HEAD bytes."""
+
+    def make(raw: bytes) -> dict:
+        try:
+            file = codec.open_store(raw)
+        except DAMAGE:
+            return {"status": "BAD" if raw else "EMPTY", "num_entries": 0}
+        first, last = file.ids or (None, None)
+        return {"status": "OK", "first_id": first, "last_id": last, "num_entries": file.entries}
+
+    return _probed(heads, make, "queue string, file_id long, status string, first_id long, last_id long, num_entries long")
+
+
+def read_heads(files: DataFrame, root: str, tier: str, size: int = HEAD) -> DataFrame:
+    """queue, file_id, content: the first bytes of each file (queue, file_id), no more than these are read; null for a missing one.
+
+    root: a path or URI that all workers reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                try:
+                    with system.open_input_file(f"{base.rstrip('/')}{x['queue']}/{tier}/{x['name']}") as file:
+                        content = file.read(size)
+                except FileNotFoundError:
+                    content = None
+                out.append({"queue": x["queue"], "file_id": x["file_id"], "content": content})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("content", pa.binary())]))
+
+    return files.select("queue", "file_id", file_path(F.col("file_id"), f".{tier}").alias("name")).mapInArrow(run, FILE)
+
+
+def delete_files(files: DataFrame, root: str, tier: str) -> DataFrame:
+    """Delete files (queue, file_id): queue, file_id, deleted (false if it wasn't there). They are gone when the result is computed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                path = f"{base.rstrip('/')}{x['queue']}/{tier}/{x['name']}"
+                there = system.get_file_info(path).type == fs.FileType.File
+                if there:
+                    system.delete_file(path)
+                out.append({"queue": x["queue"], "file_id": x["file_id"], "deleted": there})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("deleted", pa.bool_())]))
+
+    return files.select("queue", "file_id", file_path(F.col("file_id"), f".{tier}").alias("name")).mapInArrow(run, "queue string, file_id long, deleted boolean")
+
+
 def list_files(spark: SparkSession, root: str, tier: str) -> DataFrame:
-    """queue, file_id, bytes of the files under <root>/<queue>/<tier>/; other names are left out. Read by Spark's binary source."""
+    """queue, file_id, bytes of the files under <root>/<queue>/<tier>/; other names, and files without bytes, are left out. Read by Spark's binary source."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{tier}").load(root).select("path", "length")
     inside = F.regexp_extract("path", rf"^.*?{root.rstrip('/').split('://')[-1]}(/.+)/{tier}/([^.]+)\.{tier}$", 1)
     name = F.regexp_extract("path", rf"/{tier}/([^.]+\.{tier})$", 1)
@@ -125,6 +248,8 @@ def write_files(files: DataFrame, root: str, tier: str) -> DataFrame:
                 with system.open_output_stream(part) as stream:
                     stream.write(x["content"])
                 system.move(part, path)
+                if system.get_file_info(path).size != len(x["content"]):
+                    raise OSError(f"{path} isn't whole after it was written")
                 out.append({"queue": x["queue"], "file_id": x["file_id"], "path": path, "bytes": len(x["content"])})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())]))
 

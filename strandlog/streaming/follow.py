@@ -34,18 +34,27 @@ def follow_live(stream: DataFrame, queue: str, last: int | None, step: int = 1)
     return follow(stream, ReadSpec(queue, 0 if last is None else last + 1, step=step))
 
 
+_ended: set[str] = set()
+
+
 def subscribe(stream: DataFrame, callback: Callable[[DataFrame, int], bool], checkpoint: str, **trigger) -> StreamingQuery:
-    """Run callback on each micro-batch; once it returns False it is called no more and the query fails with Unsubscribed."""
+    """Run callback on each micro-batch. Once it returns False it is called no more: the query goes on past what comes, and ends by
+    unsubscribe or with its trigger."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if callback(batch, number) is False:
-            raise Unsubscribed(f"the callback ended at batch {number}")
+        if checkpoint not in _ended and callback(batch, number) is False:
+            _ended.add(checkpoint)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-class Unsubscribed(Exception):
-    pass
+def unsubscribe(spark: SparkSession, subscription: str) -> bool:
+    """Stop the subscription of this id (StreamingQuery.id); false, and no error, if there is none any more."""
+    found = next((q for q in spark.streams.active if str(q.id) == subscription), None)
+    if found is None:
+        return False
+    found.stop()
+    return True
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

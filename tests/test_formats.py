@@ -1,9 +1,10 @@
+import lzma
 import os
 
 import pytest
 
-from strandlog.sources import codec, crypto, files
-from strandlog.sources.datasource import SegmentSource
+from strandlog.sources import codec, crypto, files, store
+from strandlog.sources.datasource import SegmentReader, SegmentSource
 
 SEED = bytes(range(32))
 ENTRIES = [(i, f"entry_{i}".encode()) for i in range(1, 4)]
@@ -76,6 +77,62 @@ def test_tables_of_files(spark, compression, encryption):
     assert {r.file_id for r in files.from_store(broken, SEED, verify=True).collect()} == {1, 3, 4}
 
 
+def test_xz_is_read_and_a_missing_module_is_no_damage(spark, monkeypatch):
+    raw = codec.seal(codec.store_header(codec.XZ, codec.NONE, 1, 3), lzma.compress(codec.encode_wal(ENTRIES)), SEED)
+    stored = spark.createDataFrame([("/q", 1, bytearray(raw)), ("/q", 2, bytearray(raw[:-9])), ("/q", 3, bytearray(b""))], "queue string, file_id long, content binary")
+    assert sorted((r.file_id, r.entry_id, bytes(r.data)) for r in files.decode_wal_files(files.from_store(stored, SEED, verify=False)).collect()) == [(1, *e) for e in ENTRIES]
+    assert sorted(r.file_id for r in files.store_problems(stored, SEED).collect()) == [2, 3]
+    assert [(r.file_id, r.status, r.first_id, r.last_id) for r in files.store_ranges(stored).orderBy("file_id").collect()] == [(1, "OK", 1, 3), (2, "OK", 1, 3), (3, "EMPTY", None, None)]
+    with pytest.raises(Exception):
+        files.from_store(stored, SEED, skip_corrupt=False).collect()
+
+
+def test_store_jobs(spark, tmp_path):
+    root = str(tmp_path)
+    log = spark.range(60).selectExpr("if(id % 3 = 0, '/i/a', '/i/b') as queue", "id div 3 * 2 + id % 3 - if(id % 3 = 0, id div 3, 1) as entry_id", "cast(concat('x', id) as binary) as data")
+    wal = files.encode_wal_files(log, 8).select("queue", "file_id", "content")
+    wal = wal.union(spark.createDataFrame([("/i/b", 9, bytearray(codec.WalHeader(before=48).encode())), ("/i/b", 10, bytearray(codec.WalHeader(before=48).encode()))], wal.schema))
+    files.write_files(wal, root, "wal").collect()
+    stray = tmp_path / "i/a/wal/001.wal.abc.tmp"
+    stray.write_bytes(b"half")
+    ranges = store.compact_wal(spark, root, SEED)
+    want = sorted((r.queue, r.entry_id, bytes(r.data)) for r in log.collect())
+    names = lambda tier: sorted((r.queue, r.file_id) for r in files.list_files(spark, root, tier).collect())
+    assert names("store") == sorted((r.queue, r.file_id) for r in ranges.collect()) == [("/i/a", 1), ("/i/a", 2), *(("/i/b", f) for f in range(1, 6))]
+    assert names("wal") == [("/i/a", 3), ("/i/b", 10)]
+    assert store.compact_wal(spark, root, SEED).count() == 0
+    back = files.decode_wal_files(files.from_store(files.read_files(spark, root, "store"), SEED)).union(files.decode_wal_files(files.read_files(spark, root, "wal")))
+    assert sorted((r.queue, r.entry_id, bytes(r.data)) for r in back.collect()) == want
+    assert store.clean(spark, root) == 0 and store.clean(spark, root, -1) == 1 and not stray.exists()
+    size = {(r.queue, r.file_id): r.bytes for r in store.sizes(spark, root).collect()}
+    keep = sum(n for (q, f), n in size.items() if q == "/i/b" and f > 2)
+    assert sorted((r.queue, r.file_id) for r in store.retain(spark, root, keep).collect()) == [("/i/b", 1), ("/i/b", 2)]
+    assert {k for k in size if k not in {("/i/b", 1), ("/i/b", 2)}} == {(r.queue, r.file_id) for r in store.sizes(spark, root).collect()}
+    store.truncate(spark, root, "/i/a")
+    assert names("wal") == [("/i/b", 10)]
+    assert files.delete_files(spark.createDataFrame([("/i/b", 10), ("/i/b", 77)], "queue string, file_id long"), root, "wal").orderBy("file_id").collect()[1].deleted is False
+
+
+def test_seed_is_made_once(spark, tmp_path):
+    seed = store.load_seed(spark, f"{tmp_path}/seed")
+    assert len(seed) == 32 and store.load_seed(spark, f"{tmp_path}/seed") == seed
+    (tmp_path / "short").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        store.load_seed(spark, f"{tmp_path}/short")
+
+
+def test_bounds_leave_files_unread(tmp_path):
+    for file_id in range(1, 6):
+        path = tmp_path / f"q/wal/{file_id:03x}.wal"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(codec.encode_wal([(i, b"x") for i in range(10 * (file_id - 1), 10 * file_id)]))
+    for first, last, want in ((0, None, 5), (25, 25, 1), (19, 20, 2), (45, None, 1), (0, 5, 1)):
+        reader = SegmentReader({"path": str(tmp_path), "first": str(first)} | ({"last": str(last)} if last is not None else {}))
+        parts = reader.partitions()
+        assert sum(len(p.files) for p in parts) == want
+        assert [r[2] for p in parts for r in reader.read(p)] == list(range(first, 50 if last is None else last + 1))
+
+
 def test_data_source_and_listing(spark, tmp_path):
     for file_id, (lo, hi) in {"001": (0, 10), "fff": (10, 20), "001/000": (20, 30)}.items():
         path = tmp_path / "i/q/wal" / f"{file_id}.wal"

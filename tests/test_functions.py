@@ -36,6 +36,22 @@ def test_arithmetic(spark):
     assert [r.v for r in sorted(keys, key=lambda r: bytes(r.k))] == [0, 255, 256, 65536, 2**40]
 
 
+@pytest.mark.parametrize("value", [0, 1, 255, 2**63 - 1, 2**63, 2**64 - 1, 2**64, 10**38 - 1])
+def test_wide_ids(spark, value):
+    v = F.lit(str(value)).cast("decimal(38,0)")
+    raw = I.to_little_endian(v, 16)
+    row = one(spark, raw, I.from_little_endian_wide(raw, 16), I.from_little_endian(raw, 16), I.width(v), I.wide_key(v), I.compare(v, F.lit(2**62)))
+    n = max(1, (value.bit_length() + 7) // 8)
+    assert (bytes(row[0]), int(row[1]), row[2]) == (value.to_bytes(16, "little"), value, value if value < 2**63 else None)
+    assert row[3] == next(w for w in (1, 2, 4, 8, 16) if w >= n) and bytes(row[4]) == bytes([n]) + value.to_bytes(n) and row[5] == (1 if value > 2**62 else -1)
+
+
+def test_numbers_too_large_are_null(spark):
+    ff = F.unhex(F.lit("FF" * 16))
+    row = one(spark, I.from_little_endian(F.unhex(F.lit("FF" * 8)), 8), I.from_little_endian_wide(F.unhex(F.lit("FF" * 8)), 8), I.from_little_endian_wide(ff, 16))
+    assert (row[0], int(row[1]), row[2]) == (None, 2**64 - 1, None)
+
+
 def test_in_step(spark):
     row = one(spark, *[I.in_step(F.lit(e), F.lit(10), F.lit(s)) for e, s in ((9, 1), (10, 1), (13, 3), (14, 3), (11, 0))])
     assert tuple(row) == (False, True, True, False, True)

@@ -43,13 +43,20 @@ def test_callback_can_end_its_subscription(spark, tmp_path):
         seen.append(sorted(r.entry_id for r in batch.collect()))
         return len(seen) < 2
 
-    S.subscribe(stream, callback, f"{tmp_path}/c").awaitTermination()
-    put(spark, f"{tmp_path}/log", [4])
-    with pytest.raises(Exception):
+    for new in ([], [4], [5]):
+        if new:
+            put(spark, f"{tmp_path}/log", new)
         S.subscribe(stream, callback, f"{tmp_path}/c").awaitTermination()
     assert seen == [[0, 1, 2, 3], [4]]
 
 
+def test_unsubscribe_by_id_may_be_repeated(spark, tmp_path):
+    put(spark, f"{tmp_path}/log", range(4))
+    stream = S.stream_log(spark, f"{tmp_path}/log", spark.createDataFrame([], SCHEMA).schema)
+    query = S.subscribe(stream, lambda batch, number: True, f"{tmp_path}/c", processingTime="1 second")
+    assert S.unsubscribe(spark, str(query.id)) and not S.unsubscribe(spark, str(query.id)) and not query.isActive
+
+
 def test_appended_batches_replace_their_first_try(spark, tmp_path):
     put(spark, f"{tmp_path}/log", range(4))
     stream = S.stream_log(spark, f"{tmp_path}/log", spark.createDataFrame([], SCHEMA).schema)
