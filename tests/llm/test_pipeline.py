@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for _ in group:
         for a in group:
             for b in group:
-                if (prints[a] ^ prints[b]).bit_count() <= 4:
+                if (prints[a] ^ prints[b]).bit_count() <= P.RADIUS:
                     group[a] = group[b] = min(group[a], group[b])
     assert single == [r for r in lined if group[r[0]] == r[0]]
     clean = through("decontaminate", single)
