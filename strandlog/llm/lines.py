@@ -56,23 +56,30 @@ def where_shared(keyed: DataFrame, most_broadcast: int) -> DataFrame:
     return keyed.join(both, F.col("at.key") == both["key"], "left_semi")
 
 
-def near_lines_within(lines: DataFrame, edits: int, near_chars: int) -> DataFrame:
+def near_lines_within(lines: DataFrame, edits: int, near_chars: int, most_broadcast: int) -> DataFrame:
     """near_lines for any bound, by verified candidates. Of edits + 1 segments of a line one is whole in each line within the bound
     that is no shorter, moved by few places: keys are a line's segments and, of a line as the longer one, what stands
     where a shorter one's segments can be. Nothing is missed; a key's lines are compared in pairs, so time grows with large groups."""
     n_parts = edits + 1
-    one = lines.where(f"n >= {near_chars}").groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
-    one = C.written(one, "long_lines")
     size = f"((i + 1) * m) div {n_parts} - (i * m) div {n_parts}"
     key = "xxhash64(m, i, substring(line, cast((i * m) div {0} + {1} + 1 as int), cast({2} as int)))"
-    own = f"transform(array(n), m -> transform(sequence(0, {edits}), i -> {key.format(n_parts, 0, size)}))"
+    own = f"flatten(transform(array(n), m -> transform(sequence(0, {edits}), i -> {key.format(n_parts, 0, size)})))"
     # with i segments before and edits - i after it, a segment that is the first or last whole one moves by so much at most
     shifts = f"sequence(greatest(-i, n - m - ({edits} - i)), least(i, n - m + {edits} - i))"
     moved = f"filter({shifts}, d -> (i * m) div {n_parts} + d between 0 and n - ({size}))"
-    as_longer = f"transform(sequence(greatest(n - {edits}, {near_chars}), n), m -> flatten(transform(sequence(0, {edits}), i -> transform({moved}, d -> {key.format(n_parts, 'd', size)}))))"
-    at = lambda expr: one.select("a", F.explode(F.expr(f"array_distinct(flatten({expr}))")).alias("key"))
-    ours, theirs = at(as_longer), at(own).toDF("oa", "key")
-    pairs = ours.join(theirs, "key").where("a <> oa").select("a", "oa").distinct()
+    as_longer = f"flatten(transform(sequence(greatest(n - {edits}, {near_chars}), n), m -> flatten(transform(sequence(0, {edits}), i -> transform({moved}, d -> {key.format(n_parts, 'd', size)})))))"
+    sided = lambda keys, longer: f"transform(array_distinct({keys}), x -> struct(x as key, {longer} as longer))"
+    at = F.explode_outer(F.expr(f"concat({sided(own, 'false')}, {sided(as_longer, 'true')})")).alias("at")
+    # first the keys alone: what no other line has is dropped before any text moves
+    keyed = lines.where(f"n >= {near_chars}").select("k", "t", "pos", "line", "n", "a", "b", at)
+    met = keyed.groupBy("at.key").agg(F.min("a").alias("least"), F.max("a").alias("most"), F.max("at.longer").alias("longer"), F.min("at.longer").alias("own"))
+    met = C.written(met.where("least <> most and longer and not own").select("key"), "shared_keys")
+    met = F.broadcast(met) if met.count() <= most_broadcast else met
+    shared = lambda rows: rows.join(met, F.col("at.key") == met["key"], "left_semi")
+    one = shared(keyed).groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
+    one = C.written(one, "segment_partners")
+    both = C.written(shared(one.select("a", "line", "n", at)).select("a", "at.key", "at.longer"), "segments")
+    pairs = both.where("longer").select("a", "key").join(both.where("not longer").select(F.col("a").alias("oa"), "key"), "key").where("a <> oa").select("a", "oa").distinct()
     other = one.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("first").alias("other"), F.col("line").alias("other_line"))
     sure = pairs.join(one, "a").join(other, "oa").where(f"levenshtein(line, other_line, {edits}) between 1 and {edits}")
     gone = sure.select(F.expr("if(other < first, struct(a, b), struct(oa as a, ob as b))").alias("gone"), F.least("first", "other").alias("keep"))
@@ -85,7 +92,7 @@ def near_lines(lines: DataFrame, *, near_chars: int = 1, most_broadcast: int = 5
     if edits < 1:
         raise ValueError("edits must be 1 or more")
     if edits > 1:
-        return near_lines_within(lines, edits, near_chars)
+        return near_lines_within(lines, edits, near_chars, most_broadcast)
     long = lines.where(f"n >= {near_chars}")
     some = where_shared(long.select("k", "t", "pos", "line", "n", "a", "b", block_keys(HALF).alias("at")), most_broadcast)
     some = some.groupBy("a", "b").agg(F.min(F.struct("k", "pos", "t")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
