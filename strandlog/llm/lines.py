@@ -159,6 +159,7 @@ def op4_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+#: One edit is told by deletions of one place, in characters: levenshtein of DuckDB counts bytes.
 OP4_SQL = """
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
 x as (select doc_id, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from l),
@@ -167,7 +168,8 @@ c as (select line, first, n, n as m, left(line, n // 2) as head, right(line, n /
 s as (select line, first, n, unnest([n // 2, (n + 1) // 2, (n - 1) // 2]) as h from c),
 keys as (select distinct line, first, n, h, unnest(['h' || left(line, h), 't' || right(line, h)]) as key from s),
 gone as (select distinct y.line from keys y join keys z on y.key = z.key and y.h = z.h and abs(y.n - z.n) <= 1 and z.first < y.first and y.line <> z.line
-  where levenshtein(y.line, z.line) = 1),
+  where len(list_filter(range(0, greatest(y.n, z.n)), lambda i: left(y.line, i) || substr(y.line, case when y.n >= z.n then i + 2 else i + 1 end)
+    = left(z.line, i) || substr(z.line, case when z.n >= y.n then i + 2 else i + 1 end))) > 0),
 mark as (select x.doc_id, x.pos, x.raw, x.line <> '' and (struct_pack(d := x.doc_id, p := x.pos) <> f.first or gone.line is not null) as removed
   from x left join f on x.line = f.line left join gone on x.line = gone.line),
 per as (select doc_id, count(*) as n_lines, count(*) filter (removed) as n_removed, coalesce(string_agg(raw, chr(10) order by pos) filter (not removed), '') as kept from mark group by doc_id)
