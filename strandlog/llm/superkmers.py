@@ -7,7 +7,8 @@ by where they stand and cut into windows, so each bucket finds exactly which win
 A minimiser that the corpus has once has no repeated window, so a first pass counts minimisers (eight bytes each, summed
 before the shuffle) and only super-k-mers of repeated ones are packed and sent. Texts that are copies of an earlier document's
 whole text lose all their windows and send nothing. Equal strings are recognised whole, so a
-bucket holds the distinct strings of one minimiser and cuts only those. Windows are compared as text, never by hash.
+bucket holds the distinct strings of one minimiser and cuts only those. Windows are compared as text; whole texts that copy an
+earlier one are told by 128 bits of hash.
 
 Defined results: null, empty and blank texts have no words; rows are told apart by doc_id and text, so equal rows get equal
 results and remove nothing from each other; rows of one doc_id with different texts count as one document, whose earlier
