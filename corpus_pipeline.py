@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from strandlog.llm import bpe, common, langid, lines, simhash, winnowing
 
 MIN_SCORE = 0.4
-LINE_EDITS = 2
+#: The bound that lines.py meets without comparing the lines of a key in pairs, whatever the groups' sizes.
+LINE_EDITS = 1
 #: Bits by which near-duplicates' fingerprints differ at most.
 RADIUS = 6
 #: Keys of 16 bytes that are broadcast at most, counted before.
