@@ -141,3 +141,46 @@ def score(
 
 def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(C.load(spark, sf_dir, "documents"))
+
+
+#: The longest repeat by bisection: a text that repeats a run of m words repeats shorter ones too.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+places AS (SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+runs AS (
+  SELECT r, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS three,
+    string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten
+  FROM places
+),
+threes AS (SELECT r, i FROM runs WHERE i + 2 <= n QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+tens AS (SELECT r, i FROM runs WHERE i + 9 <= n QUALIFY count(*) OVER (PARTITION BY r, ten) > 1),
+in_threes AS (SELECT r, count(DISTINCT i) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS i FROM threes) GROUP BY r),
+in_tens AS (SELECT r, count(DISTINCT i) AS covered_words FROM (SELECT r, unnest(range(i, i + 10)) AS i FROM tens) GROUP BY r),
+hashed AS (SELECT r, n, i, hash(word) AS h FROM places),
+bounds AS (
+  SELECT r, 0 AS lo, greatest(len(w), 1) AS hi FROM d
+  UNION ALL
+  SELECT r, if(count(*) > count(DISTINCT run), any_value(m), any_value(lo)), if(count(*) > count(DISTINCT run), any_value(hi), any_value(m))
+  FROM (
+    SELECT r, lo, hi, m, hash(list(h) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND m - 1 FOLLOWING)) AS run
+    FROM (SELECT r, lo, hi, least(greatest(2 * lo, 1), (lo + hi) // 2) AS m FROM bounds WHERE hi - lo > 1) JOIN hashed USING (r)
+    QUALIFY i + m - 1 <= n
+  )
+  GROUP BY r
+),
+longest AS (SELECT r, max(lo) AS longest_repeat FROM bounds GROUP BY r),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, CAST(longest_repeat AS BIGINT) AS longest_repeat
+  FROM d LEFT JOIN lines USING (r) LEFT JOIN in_threes USING (r) LEFT JOIN in_tens USING (r) LEFT JOIN longest USING (r)
+),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT *, NOT base_failed AND covered_words <= 0.2::DOUBLE * n_words AND longest_repeat <= 0.15::DOUBLE * n_words AS kept FROM judged
+"""

@@ -201,3 +201,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
 def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(C.load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS k, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+),
+places AS (SELECT r, k, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+windows AS (
+  SELECT r, k, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run
+  FROM places QUALIFY i + 19 <= n
+),
+first AS (SELECT run, min({'k': k, 'i': i}) AS f FROM windows GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM windows JOIN first USING (run) WHERE {'k': k, 'i': i} > f),
+cut AS (
+  SELECT r, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM places LEFT JOIN gone g USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
