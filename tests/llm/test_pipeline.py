@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline as P
-from tests.llm import test_lines, test_simhash, test_winnowing
+from strandlog.llm import simhash
+from tests.llm import test_lines, test_winnowing
 
 SOUNDS = {"xx": "th an re ing of the", "yy": "ung ein sch keit zu der"}
 
@@ -35,11 +36,12 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert [(r[0], r[1], r[4]) for r in lined] == [(r[0], want[r[0]], len(want[r[0]])) for r in kept]
     single = through("near_dedup", lined)
     group = {r[0]: r[0] for r in lined}
-    prints = {r[0]: test_simhash.brute(r[1]) for r in lined}
+    prints = {r[0]: simhash.two_fingerprints(r[1], P.SHINGLE) for r in lined}
     for _ in group:
         for a in group:
             for b in group:
-                if (prints[a] ^ prints[b]).bit_count() <= P.RADIUS:
+                apart = [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b])]
+                if min(apart) <= P.RADIUS and sum(apart) <= P.TOTAL:
                     group[a] = group[b] = min(group[a], group[b])
     assert single == [r for r in lined if group[r[0]] == r[0]]
     clean = through("decontaminate", single)

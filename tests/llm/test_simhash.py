@@ -124,3 +124,28 @@ def test_long_chains_connect(spark):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_two_fingerprints_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(None, None), (0, ""), (1, "one")]
+    for i in range(2, 40):
+        words = [str(rng.randrange(10**6)) for _ in range(rng.choice([60, 200]))]
+        for copy in range(rng.choice([1, 2, 4])):
+            rows.append((i + 100 * copy, " ".join(words)))
+            words[rng.randrange(len(words))] = "edited"
+    rng.shuffle(rows)
+    prints = [S.two_fingerprints(t, 5) for _, t in rows]
+    group = list(range(len(rows)))
+    apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b])]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if min(apart(a, b)) <= 6 and sum(apart(a, b)) <= 24]
+    assert any(max(apart(a, b)) > 6 for a, b in links)
+    for _ in rows:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    low = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    want = sorted(low(min((i for i in range(len(rows)) if group[i] == g), key=low)) for g in set(group))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = S.keep_one(docs, size=5, radius=6, total=24).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == want
+    assert S.keep_one(docs.limit(0), size=5, radius=6, total=24).count() == 0
