@@ -14,8 +14,9 @@ from strandlog.llm import bpe, common, langid, lines, simhash, winnowing
 MIN_SCORE = 0.4
 #: The bound that lines.py meets without comparing the lines of a key in pairs, whatever the groups' sizes.
 LINE_EDITS = 1
-#: Bits by which near-duplicates' fingerprints differ at most.
-RADIUS = 6
+#: Words of a shingle; bits by which one fingerprint of two near-duplicates differs at most, and both of them together. Unrelated
+#: texts differ in 32 of 64 bits, those of similarity 0.8 in some 10: the bound on both tells a chance partner of one.
+SHINGLE, RADIUS, TOTAL = 5, 6, 24
 #: Keys of 16 bytes that are broadcast at most, counted before.
 MOST_BROADCAST = 1_000_000
 
@@ -35,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return simhash.keep_one(docs, radius=RADIUS)
+    return simhash.keep_one(docs, size=SHINGLE, radius=RADIUS, total=TOTAL)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
