@@ -84,8 +84,12 @@ def is_width(size: Column) -> Column:
 
 
 def narrowed(value: Column) -> Column:
-    """The id as BIGINT, null if it doesn't fit."""
-    return value.try_cast("bigint")
+    """The id as BIGINT, null if it doesn't fit. A cast that fails raises and catches an error for each row, some 25 times as slow as
+    one that doesn't, so plain numbers are compared with the bounds first."""
+    digits = value.cast("string")
+    plain = digits.rlike("^[+-]?[0-9]{1,38}$")
+    within = F.when(plain, digits).cast("decimal(38,0)").between(F.lit(-(1 << 63)), F.lit((1 << 63) - 1))
+    return F.when(~(plain & ~within), value.try_cast("bigint"))
 
 
 def to_little_endian(value: Column, size: int) -> Column:
@@ -111,7 +115,12 @@ def from_little_endian_wide(raw: Column, size: int) -> Column:
 
 def wide_key(value: Column) -> Column:
     """A binary key whose byte order is the order of the ids: a length byte, then the bytes, most significant first."""
-    digits = F.regexp_replace(wide_hex(value), "^(?:00){0,15}", "")
+    # a BIGINT has its digits at once; only ids beyond take decimal arithmetic
+    wide = value.cast("decimal(38,0)")
+    narrow = wide.between(F.lit(0), F.lit((1 << 63) - 1))
+    few = F.hex(F.when(narrow, wide).cast("bigint"))
+    even = F.concat(F.when(F.length(few) % 2 == 1, "0").otherwise(""), few)
+    digits = F.when(narrow, even).otherwise(F.regexp_replace(wide_hex(value), "^(?:00){0,15}", ""))
     return F.unhex(F.concat(F.lpad(F.hex((F.length(digits) / 2).cast("int")), 2, "0"), digits))
 
 

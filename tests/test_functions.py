@@ -52,6 +52,24 @@ def test_numbers_too_large_are_null(spark):
     assert (row[0], int(row[1]), row[2]) == (None, 2**64 - 1, None)
 
 
+def test_numbers_are_narrowed_without_failing_casts(spark):
+    odd = ["0", "-1", "+7", " 12 ", "12.7", "x", "", None, "1e3", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809", "0" * 30 + "5", "0" * 50 + "5", "9" * 38, "9" * 60]
+    rows = spark.createDataFrame([(x,) for x in odd], "v string")
+    got = rows.select(I.narrowed(F.col("v")).alias("n"), F.col("v").try_cast("bigint").alias("want")).collect()
+    assert [r.n for r in got] == [r.want for r in got] and got[9].n == 2**63 - 1 and got[10].n is None
+    # a cast that fails costs an error a row: it stands behind a comparison with the bounds
+    plan = rows.select(I.narrowed(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and plan.index("CASE WHEN") < plan.index("try_cast")
+
+
+def test_keys_of_narrow_and_wide_ids_agree(spark):
+    values = [0, 9, 15, 16, 255, 256, 4095, 4096, 2**31, 2**62, 2**63 - 1]
+    both = spark.createDataFrame([(v,) for v in values], "v long").select("v", I.wide_key(F.col("v")).alias("n"), I.wide_key(F.col("v").cast("decimal(38,0)")).alias("w")).collect()
+    for r in both:
+        size = max(1, (r.v.bit_length() + 7) // 8)
+        assert bytes(r.n) == bytes(r.w) == bytes([size]) + r.v.to_bytes(size)
+
+
 def test_in_step(spark):
     row = one(spark, *[I.in_step(F.lit(e), F.lit(10), F.lit(s)) for e, s in ((9, 1), (10, 1), (13, 3), (14, 3), (11, 0))])
     assert tuple(row) == (False, True, True, False, True)
