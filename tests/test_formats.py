@@ -162,3 +162,13 @@ def test_written_files_are_listed_and_read_back(spark, tmp_path):
     assert files.offload(wal, listed, str(tmp_path), "wal").count() == 0
     short = listed.selectExpr("queue", "file_id", "if(file_id = 2, bytes - 1, bytes) as bytes").where("file_id <> 3")
     assert sorted((r.queue, r.file_id) for r in files.offload(wal, short, str(tmp_path), "wal").collect()) == [(q, f) for q in ("/i/a", "/i/b") for f in (2, 3)]
+
+
+def test_signing_and_verifying_double_nothing(monkeypatch):
+    public, signature = crypto.public_key(SEED), crypto.sign(SEED, b"text")
+    assert crypto.verify(public, b"text", signature)
+    calls, plus = [], crypto._plus
+    monkeypatch.setattr(crypto, "_plus", lambda p, q: calls.append(1) or plus(p, q))
+    for i in range(5):
+        assert crypto.verify(public, bytes(i), crypto.sign(SEED, bytes(i)))
+    assert len(calls) < 10  # tables of a key's multiples are made once
