@@ -306,7 +306,7 @@ def _wal_store(spark: SparkSession, sf_dir: str, per_file: int) -> str:
     """A store's folder with the log in WAL files."""
     root = shared.work_dir(spark)
     named = _log(spark, sf_dir).withColumn("queue", F.concat(F.lit("/"), "queue"))
-    files.write_files(files.encode_wal_files(named, per_file).select("queue", "file_id", "content"), root, "wal").write.format("noop").mode("overwrite").save()
+    files.write_files(files.encode_wal_files(named, per_file), root, "wal").write.format("noop").mode("overwrite").save()
     return root
 
 

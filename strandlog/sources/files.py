@@ -6,9 +6,12 @@ segment is bounded by its file size, so one file is one row of work."""
 from __future__ import annotations
 
 import lzma
+import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import zstandard
@@ -22,21 +25,70 @@ from strandlog.sources import codec, crypto
 FILE = "queue string, file_id long, content binary"
 
 
-def _binary(rows: Iterator[pa.RecordBatch], make, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        out = [x for x in map(make, batch.to_pylist()) if x is not None]
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(n, {"queue": pa.string(), "file_id": pa.int64(), "before": pa.int64(), "entries": pa.int64()}.get(n, pa.binary())) for n in names]))
+#: Rows that are turned into Python objects at once, and bytes after which a batch is passed on: a worker's memory doesn't grow with
+#: the number of files, nor with their sizes beyond one slice of files.
+SLICE, PASS_ON = 32, 4_000_000
+_KINDS = {"queue": pa.string(), "path": pa.string(), "status": pa.string(), "deleted": pa.bool_(), "content": pa.binary(), "key": pa.binary(), "nonce": pa.binary()}
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from batch.slice(at, SLICE).to_pylist()
+
+
+def _batches(rows: Iterable[dict | None], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows but None as batches of bounded size."""
+    schema = pa.schema([(n, _KINDS.get(n, pa.int64())) for n in names])
+    out, size = [], 0
+    for x in rows:
+        if x is not None:
+            out.append(x)
+            size += len(x.get("content") or b"") + 100
+        if size > PASS_ON:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out, size = [], 0
+    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def _mapped(files: DataFrame, columns: list[str], step, names: list[str], schema: str) -> DataFrame:
+    """files' columns through step, from an iterator of rows to another. A step right after a step runs in the same worker, so a
+    task has one worker for them all."""
+    source, before = getattr(files, "_step", None) or (files.select(*columns), _rows)
+    run = lambda batches: step(before(batches))
+    out = source.mapInArrow(lambda it: _batches(run(it), names), schema)
+    out._step = source, run
+    return out
+
+
+def _each(make):
+    """A step that makes a row of a row; None is left out."""
+    return lambda rows: (x for x in map(make, rows) if x is not None)
+
+
+def _name(file_id: int, tier: str) -> str:
+    """As ids.file_path."""
+    digits = f"{file_id:x}"
+    digits = digits.zfill(-(-len(digits) // 3) * 3)
+    return "/".join(digits[i : i + 3] for i in range(0, len(digits), 3)) + f".{tier}"
 
 
 def encode_wal_files(log: DataFrame, per_file: int) -> DataFrame:
-    """queue, file_id, content, before, entries: the log in WAL files of per_file entries."""
-    rows = log.select("queue", (F.expr(f"entry_id div {per_file}") + 1).alias("file_id"), F.struct("entry_id", F.col("data").cast("binary").alias("data")).alias("e"))
-    files = rows.groupBy("queue", "file_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    """queue, file_id, content, before, entries: the log in WAL files of per_file entries. Spark sorts the entries, and a file's are
+    encoded when its last one has come by."""
+    rows = log.select("queue", (F.expr(f"entry_id div {per_file}") + 1).alias("file_id"), "entry_id", F.col("data").cast("binary").alias("data"))
 
-    def make(x: dict) -> dict:
-        return {"queue": x["queue"], "file_id": x["file_id"], "content": codec.encode_wal([(e["entry_id"], e["data"]) for e in x["e"]]), "before": x["e"][0]["entry_id"], "entries": len(x["e"])}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        entries = (x for batch in batches for at in range(0, batch.num_rows, 1024) for x in zip(*[c.to_pylist() for c in batch.slice(at, 1024).columns]))
+        for (queue, file_id), group in groupby(entries, key=itemgetter(0, 1)):
+            own = [x[2:] for x in group]
+            yield {"queue": queue, "file_id": file_id, "content": codec.encode_wal(own), "before": own[0][0], "entries": len(own)}
 
-    return files.mapInArrow(lambda it: _binary(it, make, ["queue", "file_id", "content", "before", "entries"]), FILE + ", before long, entries long")
+    names = ["queue", "file_id", "content", "before", "entries"]
+    source = rows.repartition("queue", "file_id").sortWithinPartitions("queue", "file_id", "entry_id", "data")
+    out = source.mapInArrow(lambda it: _batches(run(it), names), FILE + ", before long, entries long")
+    out._step = source, run
+    return out
 
 
 def to_store(wal: DataFrame, seed: bytes, compression: int = codec.ZSTD, encryption: int = codec.AES, signed: bool = True) -> DataFrame:
@@ -50,10 +102,10 @@ def to_store(wal: DataFrame, seed: bytes, compression: int = codec.ZSTD, encrypt
         return {"queue": x["queue"], "file_id": x["file_id"], "content": codec.seal(codec.store_header(compression, encryption, x["before"], x["entries"]), x["content"], seed if signed else None)}
 
     names = ["queue", "file_id", "content", "before", "entries"]
-    packed = wal.select(*names).mapInArrow(lambda it: _binary(it, squeeze, [*names, "key", "nonce"]), FILE + ", before long, entries long, key binary, nonce binary")
+    packed = _mapped(wal, names, _each(squeeze), [*names, "key", "nonce"], FILE + ", before long, entries long, key binary, nonce binary")
     if encryption == codec.AES:
         packed = packed.withColumn("content", F.expr("aes_encrypt(content, key, 'GCM', 'DEFAULT', nonce)"))
-    return packed.select(*names).mapInArrow(lambda it: _binary(it, finish, ["queue", "file_id", "content"]), FILE)
+    return _mapped(packed, names, _each(finish), ["queue", "file_id", "content"], FILE)
 
 
 #: What a damaged file can raise; anything else, such as a missing module, is an error of ours.
@@ -83,10 +135,10 @@ def from_store(files: DataFrame, seed: bytes, verify: bool = True, skip_corrupt:
                 return None
             raise
 
-    opened = files.select("queue", "file_id", "content").mapInArrow(lambda it: _binary(it, unseal, ["queue", "file_id", "content", "entries", "before", "key"]), FILE + ", entries long, before long, key binary")
+    opened = _mapped(files, ["queue", "file_id", "content"], _each(unseal), ["queue", "file_id", "content", "entries", "before", "key"], FILE + ", entries long, before long, key binary")
     decrypt = "try_aes_decrypt" if skip_corrupt else "aes_decrypt"
     plain = opened.withColumn("content", F.expr(f"if(before = {codec.AES}, {decrypt}(content, key, 'GCM'), content)")).where("content is not null")
-    return plain.select("queue", "file_id", "content", "entries").mapInArrow(lambda it: _binary(it, expand, ["queue", "file_id", "content"]), FILE)
+    return _mapped(plain, ["queue", "file_id", "content", "entries"], _each(expand), ["queue", "file_id", "content"], FILE)
 
 
 def store_problems(files: DataFrame, seed: bytes, verify: bool = True) -> DataFrame:
@@ -95,34 +147,33 @@ def store_problems(files: DataFrame, seed: bytes, verify: bool = True) -> DataFr
 
 
 def decode_wal_files(wal: DataFrame, first: int = 0, last: int | None = None, step: int = 1) -> DataFrame:
-    """queue, file_id, entry_id, data (binary) of each file's sound prefix. Columns are built from slices of the files."""
+    """queue, file_id, entry_id, data (binary) of each file's sound prefix."""
+
+    source, before = getattr(wal, "_step", None) or (wal.select("queue", "file_id", "content"), _rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, data, owner, size = [], [], [], 0
-            for row, content in enumerate(batch.column(2)):
-                for entry_id, payload in codec.decode_wal(content.as_buffer().to_pybytes() if content.is_valid else b"", first, last, step):
-                    ids.append(entry_id)
-                    data.append(payload)
-                    owner.append(row)
-                    size += len(payload)
-                    if size > 32_000_000:
-                        yield rows(batch, owner, ids, data)
-                        ids, data, owner, size = [], [], [], 0
-            yield rows(batch, owner, ids, data)
+        queues, files, ids, data, size = [], [], [], [], 0
+        for x in before(batches):
+            for entry_id, payload in codec.decode_wal(x["content"] or b"", first, last, step):
+                queues.append(x["queue"])
+                files.append(x["file_id"])
+                ids.append(entry_id)
+                data.append(payload)
+                size += len(payload) + 24
+                if size > PASS_ON:
+                    yield rows(queues, files, ids, data)
+                    queues, files, ids, data, size = [], [], [], [], 0
+        yield rows(queues, files, ids, data)
 
-    def rows(batch: pa.RecordBatch, owner: list[int], ids: list[int], data: list[bytes]) -> pa.RecordBatch:
-        at = pa.array(owner, pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["queue", "file_id", "entry_id", "data"])
+    def rows(queues: list[str], files: list[int], ids: list[int], data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(queues, pa.string()), pa.array(files, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["queue", "file_id", "entry_id", "data"])
 
-    return wal.select("queue", "file_id", "content").mapInArrow(run, "queue string, file_id long, entry_id long, data binary")
+    return source.mapInArrow(run, "queue string, file_id long, entry_id long, data binary")
 
 
 def _probed(files: DataFrame, make, schema: str) -> DataFrame:
-    kinds = {"queue": pa.string(), "status": pa.string()}
     names = [x.split()[0] for x in schema.split(", ")]
-    arrow = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
-    return files.select("queue", "file_id", "content").mapInArrow(lambda it: (pa.RecordBatch.from_pylist([{"queue": x["queue"], "file_id": x["file_id"]} | make(x["content"] or b"") for x in b.to_pylist()], schema=arrow) for b in it), schema)
+    return _mapped(files, ["queue", "file_id", "content"], _each(lambda x: {"queue": x["queue"], "file_id": x["file_id"]} | make(x["content"] or b"")), names, schema)
 
 
 def _header(raw: bytes) -> tuple[str, codec.WalHeader | None]:
@@ -160,6 +211,18 @@ def wal_ranges(files: DataFrame) -> DataFrame:
     return _probed(files, make, "queue string, file_id long, status string, before long, first_id long, last_id long, num_entries long")
 
 
+def sound_files(files: DataFrame) -> DataFrame:
+    """queue, file_id, content, before, entries of the WAL files that have entries in their sound prefix: its first id and its length."""
+
+    def make(x: dict) -> dict | None:
+        first, n = None, 0
+        for entry_id, _ in codec.decode_wal(x["content"] or b""):
+            first, n = entry_id if first is None else first, n + 1
+        return x | {"before": first, "entries": n} if n else None
+
+    return _mapped(files, ["queue", "file_id", "content"], _each(make), ["queue", "file_id", "content", "before", "entries"], FILE + ", before long, entries long")
+
+
 #: Bytes of a store file that hold its authentication and header.
 HEAD = 256
 
@@ -178,25 +241,28 @@ def store_ranges(heads: DataFrame) -> DataFrame:
     return _probed(heads, make, "queue string, file_id long, status string, first_id long, last_id long, num_entries long")
 
 
-def read_heads(files: DataFrame, root: str, tier: str, size: int = HEAD) -> DataFrame:
-    """queue, file_id, content: the first bytes of each file (queue, file_id), no more than these are read; null for a missing one.
+def read_heads(files: DataFrame, root: str, tier: str, size: int | None = HEAD) -> DataFrame:
+    """queue, file_id, content: the first bytes of each file (queue, file_id), no more than these are read, or with size None all;
+    null for a missing one.
 
     root: a path or URI that all workers reach."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heads(rows: Iterator[dict]) -> Iterator[dict]:
         system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                try:
-                    with system.open_input_file(f"{base.rstrip('/')}{x['queue']}/{tier}/{x['name']}") as file:
-                        content = file.read(size)
-                except FileNotFoundError:
-                    content = None
-                out.append({"queue": x["queue"], "file_id": x["file_id"], "content": content})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("content", pa.binary())]))
+        for x in rows:
+            try:
+                with system.open_input_file(f"{base.rstrip('/')}{x['queue']}/{tier}/{_name(x['file_id'], tier)}") as file:
+                    content = file.read(size)
+            except FileNotFoundError:
+                content = None
+            yield {"queue": x["queue"], "file_id": x["file_id"], "content": content}
+
+    return _mapped(files, ["queue", "file_id"], heads, ["queue", "file_id", "content"], FILE)
+
 
-    return files.select("queue", "file_id", file_path(F.col("file_id"), f".{tier}").alias("name")).mapInArrow(run, FILE)
+def dealt(files: DataFrame) -> DataFrame:
+    """files spread over some tasks a core: a list of many names is a small table, which Spark would give to one."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "queue", "file_id")
 
 
 def delete_files(files: DataFrame, root: str, tier: str) -> DataFrame:
@@ -217,19 +283,46 @@ def delete_files(files: DataFrame, root: str, tier: str) -> DataFrame:
     return files.select("queue", "file_id", file_path(F.col("file_id"), f".{tier}").alias("name")).mapInArrow(run, "queue string, file_id long, deleted boolean")
 
 
+def _folders(root: str, tier: str) -> list[tuple[str, bool]]:
+    """The folders below root, and whether all that is below them belongs to them: those of a tier's file ids aren't looked into."""
+    system, base = fs.FileSystem.from_uri(root)
+    found, open_ = [], [base.rstrip("/")]
+    while open_:
+        folder = open_.pop()
+        found.append((folder, False))
+        for x in system.get_file_info(fs.FileSelector(folder)):
+            if x.type == fs.FileType.Directory:
+                if folder.endswith(f"/{tier}") and re.fullmatch("[0-9a-f]{3}", x.base_name):
+                    found.append((x.path, True))
+                else:
+                    open_.append(x.path)
+    return found
+
+
 def list_files(spark: SparkSession, root: str, tier: str) -> DataFrame:
-    """queue, file_id, bytes of the files under <root>/<queue>/<tier>/; other names, and files without bytes, are left out. Read by Spark's binary source."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{tier}").load(root).select("path", "length")
-    inside = F.regexp_extract("path", rf"^.*?{root.rstrip('/').split('://')[-1]}(/.+)/{tier}/([^.]+)\.{tier}$", 1)
-    name = F.regexp_extract("path", rf"/{tier}/([^.]+\.{tier})$", 1)
-    return found.select(inside.alias("queue"), path_to_id(name).alias("file_id"), F.col("length").alias("bytes")).where("file_id is not null and queue <> ''")
+    """queue, file_id, bytes of the files under <root>/<queue>/<tier>/; other names, and files without bytes, are left out. The
+    folders of file ids, 4096 files each, are listed by the workers."""
+    pattern = re.compile(rf"(/.+)/{tier}/([^.]+\.{tier})", re.DOTALL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+
+        def inside() -> Iterator[dict]:
+            for x in _rows(batches):
+                for file in system.get_file_info(fs.FileSelector(x["folder"], recursive=x["whole"])):
+                    if file.type == fs.FileType.File and file.size and (m := pattern.fullmatch(file.path[len(base.rstrip("/")) :])):
+                        yield {"queue": m[1], "path": m[2], "bytes": file.size}
+
+        return _batches(inside(), ["queue", "path", "bytes"])
+
+    folders = spark.createDataFrame(_folders(root, tier), "folder string, whole boolean")
+    found = folders.mapInArrow(run, "queue string, path string, bytes long")
+    return found.select("queue", path_to_id(F.col("path")).alias("file_id"), "bytes").where("file_id is not null")
 
 
 def read_files(spark: SparkSession, root: str, tier: str) -> DataFrame:
-    """queue, file_id, content of the files under root."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{tier}").load(root)
-    inside = F.regexp_extract("path", rf"^.*?{root.rstrip('/').split('://')[-1]}(/.+)/{tier}/([^.]+)\.{tier}$", 1)
-    return found.select(inside.alias("queue"), path_to_id(F.regexp_extract("path", rf"/{tier}/([^.]+\.{tier})$", 1)).alias("file_id"), "content").where("file_id is not null and queue <> ''")
+    """queue, file_id, content of the files under root, which workers list and then read by name."""
+    return read_heads(dealt(list_files(spark, root, tier).select("queue", "file_id")), root, tier, None)
 
 
 def write_files(files: DataFrame, root: str, tier: str) -> DataFrame:
@@ -237,24 +330,20 @@ def write_files(files: DataFrame, root: str, tier: str) -> DataFrame:
     reader sees half a file and a task that runs twice does no harm. root: a path or URI that all workers reach. When the result,
     (queue, file_id, path, bytes), is computed, the files are there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(rows: Iterator[dict]) -> Iterator[dict]:
         system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                path = f"{base.rstrip('/')}{x['queue']}/{tier}/{x['name']}"
-                part = f"{path}.{uuid.uuid4().hex}.tmp"
-                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(part) as stream:
-                    stream.write(x["content"])
-                system.move(part, path)
-                if system.get_file_info(path).size != len(x["content"]):
-                    raise OSError(f"{path} isn't whole after it was written")
-                out.append({"queue": x["queue"], "file_id": x["file_id"], "path": path, "bytes": len(x["content"])})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("queue", pa.string()), ("file_id", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())]))
-
-    named = files.select("queue", "file_id", "content", file_path(F.col("file_id"), f".{tier}").alias("name"))
-    return named.mapInArrow(run, "queue string, file_id long, path string, bytes long")
+        for x in rows:
+            path = f"{base.rstrip('/')}{x['queue']}/{tier}/{_name(x['file_id'], tier)}"
+            part = f"{path}.{uuid.uuid4().hex}.tmp"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(part) as stream:
+                stream.write(x["content"])
+            system.move(part, path)
+            if system.get_file_info(path).size != len(x["content"]):
+                raise OSError(f"{path} isn't whole after it was written")
+            yield {"queue": x["queue"], "file_id": x["file_id"], "path": path, "bytes": len(x["content"])}
+
+    return _mapped(files, ["queue", "file_id", "content"], write, ["queue", "file_id", "path", "bytes"], "queue string, file_id long, path string, bytes long")
 
 
 def offload(files: DataFrame, remote: DataFrame, root: str, tier: str) -> DataFrame:

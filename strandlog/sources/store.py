@@ -22,14 +22,12 @@ def compact_wal(spark: SparkSession, root: str, seed: bytes, compression: int =
     of a damaged file is kept, and one without entries leaves no store file."""
     listed = files.list_files(spark, root, "wal")
     closed = shared.written(segments.compaction_candidates(listed), "closed")
-    wal = files.read_files(spark, root, "wal").join(closed, ["queue", "file_id"], "left_semi")
-    told = files.wal_ranges(wal).where("num_entries > 0")
-    ready = wal.join(told.select("queue", "file_id", F.col("first_id").alias("before"), F.col("num_entries").alias("entries")), ["queue", "file_id"])
+    ready = files.sound_files(files.read_heads(files.dealt(closed), root, "wal", None))
     made = shared.written(files.write_files(files.to_store(ready, seed, compression, encryption), root, "store"), "made")
     ranges = shared.written(files.store_ranges(files.read_heads(made, root, "store")).where("status = 'OK'").drop("status"), "ranges")
     if ranges.count() != made.count():
         raise OSError("a store file can't be read back")
-    files.delete_files(closed, root, "wal").write.format("noop").mode("overwrite").save()
+    files.delete_files(files.dealt(closed), root, "wal").write.format("noop").mode("overwrite").save()
     return ranges
 
 
@@ -43,7 +41,7 @@ def retain(spark: SparkSession, root: str, max_bytes: int, offloaded: int | None
     """Delete the oldest files until each queue is within max_bytes, with a remote tier only what is there; returns what went."""
     doomed = shared.written(retention.victims(sizes(spark, root), max_bytes, offloaded), "victims")
     for tier in ("store", "wal"):
-        files.delete_files(doomed, root, tier).write.format("noop").mode("overwrite").save()
+        files.delete_files(files.dealt(doomed), root, tier).write.format("noop").mode("overwrite").save()
     return doomed
 
 

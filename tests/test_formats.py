@@ -172,3 +172,30 @@ def test_signing_and_verifying_double_nothing(monkeypatch):
     for i in range(5):
         assert crypto.verify(public, bytes(i), crypto.sign(SEED, bytes(i)))
     assert len(calls) < 10  # tables of a key's multiples are made once
+
+
+def test_batches_of_files_are_bounded(spark):
+    rows = ({"queue": "/q", "file_id": i, "content": bytes(1_000_000)} for i in range(20))
+    sizes = [b.num_rows for b in files._batches(rows, ["queue", "file_id", "content"])]
+    assert sum(sizes) == 20 and max(sizes) <= 5
+    log = spark.range(300).selectExpr("'/q' as queue", "id as entry_id", "cast(concat('x', id) as binary) as data")
+    wal = files.encode_wal_files(log, 8)
+    plan = wal._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan  # entries come by in order; no file is held as a list of rows
+    assert {(r.file_id, r.before, r.entries) for r in wal.collect()} == {(i + 1, 8 * i, min(8, 300 - 8 * i)) for i in range(38)}
+
+
+def test_steps_share_a_worker_and_queues_of_any_name_are_listed(spark, tmp_path):
+    log = spark.range(20).selectExpr("if(id % 2 = 0, '/_i/a b', '/i/wal/c') as queue", "id div 2 as entry_id", "cast(concat('x', id) as binary) as data")
+    made = files.write_files(files.encode_wal_files(log, 4), str(tmp_path), "wal")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert made.count() == 6
+    (tmp_path / "i/wal/c/wal/004.wal").write_bytes(b"")
+    assert sorted((r.queue, r.file_id) for r in files.list_files(spark, str(tmp_path), "wal").collect()) == [(q, f) for q in ("/_i/a b", "/i/wal/c") for f in (1, 2, 3)]
+    back = files.decode_wal_files(files.read_files(spark, str(tmp_path), "wal"))
+    assert sorted((r.queue, r.entry_id, bytes(r.data)) for r in back.collect()) == sorted((r.queue, r.entry_id, bytes(r.data)) for r in log.collect())
+
+
+@pytest.mark.parametrize("file_id, name", [(0, "000"), (4095, "fff"), (4096, "001/000"), (16777216, "001/000/000")])
+def test_names_of_files(file_id, name):
+    assert files._name(file_id, "wal") == f"{name}.wal"
